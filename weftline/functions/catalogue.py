@@ -82,6 +82,7 @@ CONTENT = {
 }
 #: Nominal bore in inches and its DN; rated power in HP and its kW.
 BORES = {"0.5": 15, "0.75": 20, "1": 25, "1.25": 32, "1.5": 40, "2": 50, "2.5": 65, "3": 80, "4": 100, "5": 125, "6": 150, "8": 200, "10": 250, "12": 300, "14": 350, "16": 400, "18": 450, "20": 500, "24": 600}
+_DN = frozenset(BORES.values())
 POWERS = {"0.5": "0.37", "1": "0.75", "1.5": "1.1", "2": "1.5", "3": "2.2", "5": "3.7", "7.5": "5.5", "10": "7.5", "15": "11", "20": "15", "25": "18.5", "30": "22", "40": "30", "50": "37", "60": "45", "75": "55", "100": "75", "120": "90", "125": "90", "150": "110"}
 #: Words of attribute phrases; a longer unknown word one slip away from one of these is read as it.
 WORDS = """
@@ -110,9 +111,9 @@ UNIT = (
     r"millilitres?|milliliters?|kilolitres?|kilograms?|kilogramme?s?|kilometres?|kilometers?|centimetres?|centimeters?|millimetres?|millimeters?|"
     r"us gallons?|us gal|us quarts?|us qts?|us qt|gallons?|gals?|quarts?|qts?|metric tonn?e?s?|metric tons?|m tons?|tonnes?|tons?|mt|quintals?|qtls?|"
     r"pounds?|lbs?|ounces?|ozs?|grams?|gms?|kgs?|kgm|kilos?|litres?|liters?|ltrs?|lits?|cms?|kms?|mtrs?|metres?|meters?|yards?|yds?|feet|foot|fts?|"
-    r"mls?|mm|cc|kl|kg|gm|lt|l|g|m"
+    r"cu ?m|cum|m3|m³|cu ?cm|cu ?ft|mls?|mm|cc|kl|kg|gm|lt|l|g|m"
 )
-_N = r"\d+(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
+_N = r"\d+[ -]\d/\d|\d/\d|\d+(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 _HOLD = r"pack of|pack|net|qty|content|roll of|coil of|drum of|pail of|can of|bag of|tube of|bottle of|roll|coil|drum|pail|can|bag|tube|bottle|btl|box|carton|reel"
 _PER = r"(?:per )?(?:coil|drum|roll|pail|can|bag|tube|bottle|reel|box)s?"
 _PATTERNS = [
@@ -128,7 +129,7 @@ _PATTERNS = [
     ("press", r"(?:wp )?(?P<pn>\d+(?:\.\d+)?) ?(?P<pu>bar|mpa|kpa)(?: (?:wp|working))?"),
     ("length", r"(?:l=|length:? )(?P<ln1>\d+(?:\.\d+)?) ?(?P<lu1>mm|cm|m)(?![a-z])|(?P<ln2>\d+(?:\.\d+)?) ?(?P<lu2>mm|cm|m) (?:lg|long)(?![a-z])"),
     ("dial", r"dial(?: size)?:? (?P<dn1>\d+(?:\.\d+)?) ?(?P<du1>mm|cm)|(?P<dn2>\d+(?:\.\d+)?) ?(?P<du2>mm|cm) dial"),
-    ("bore", r"(?P<b1>\d+) ?(?:mm )?nb(?![a-z])|dn ?(?P<b2>\d{1,3})(?![\do]|[./-]\d)|nps ?(?P<b3>\d+-\d/\d|\d+/\d+|\d+(?:\.\d+)?)|(?P<b4>\d+-\d/\d|\d+/\d+|\d+(?:\.\d+)?) ?(?:\"|inch(?:es)?(?![a-z])|in(?![a-z]))"),
+    ("bore", r"(?P<b1>\d{1,3}) ?(?:mm )?nb(?![a-z\d])|dn ?(?P<b2>\d{1,3})(?![\do]|[./-]\d)|nps ?(?P<b3>\d+-\d/\d|\d+/\d+|\d+(?:\.\d+)?)|(?P<b4>\d+-\d/\d|\d+/\d+|\d+(?:\.\d+)?) ?(?:\"|inch(?:es)?(?![a-z])|in(?![a-z]))"),
     ("nutthread", r"(?P<nt>\d{1,2}) ?mm thread"),
     ("dia", r"(?:ø ?|dia:? )(?P<di1>\d+(?:\.\d+)?)(?: ?(?P<iu1>mm|cm)(?![a-z]))?|(?P<di2>\d+(?:\.\d+)?) ?(?P<iu2>mm|cm) dia(?![a-z])"),
     ("strands", r"(?P<st>[68] ?[x/] ?\d\d)(?: constr)?(?![0-9])"),
@@ -144,7 +145,7 @@ _PATTERNS = [
     ("nlgi", r"nlgi(?: grade)?[ -]?(?P<nl>0{1,3}|\d)(?!\d)"),
     ("purity", r"(?P<pu1>\d+(?:\.\d+)?) ?(?:%|pct|percent)(?: (?:min|pure))?"),
     ("micron", r"(?P<mi>\d+(?:\.\d+)?) ?(?:microns?|mic(?![a-z])|um(?![a-z])|μm|µm)"),
-    ("designation", r"(?:no|desig|designation|brg)[ :]*(?P<de>\d{4,5})(?!\d)|(?P<de2>6[0234]\d\d)(?![\d.,])(?! ?(?:ma|v|w|mm|cm|kpa|x)(?![a-z]))"),
+    ("designation", r"(?:no|desig|designation|brg)[ :]*(?P<de>\d{4,5})(?!\d)|(?P<de2>6[0234]\d\d)(?![\d.,])(?![ -]?(?:[a-z]{1,4}(?![a-z])|ounces|grams|us |pounds|yards|feet|lit|mil|x))"),
     ("clearance", r"(?:clearance |clr )?c ?-?(?P<cl>[2345n])(?: clr)?(?![a-z0-9])|(?P<cln>normal clearance)"),
     ("seal", r"(?P<se2>2 ?-?rs1?(?![a-z0-9])|sealed both sides|rubber sealed)|(?P<sez>z ?-?z(?![a-z0-9])|metal shielded|2z(?![a-z0-9]))|(?P<seo>unsealed|no seal|open(?: type)?)"),
     ("amount2", rf"(?:(?P<hold2>{_HOLD})[ :]*)(?P<n2>{_N})(?:[ -]?(?P<u2>{UNIT})(?![a-z0-9/³²]))?(?![\d.])"),
@@ -226,7 +227,6 @@ _DOTTED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]\.)+(?:[^\W\d_](?![^\W_]))?\.?")
 _DOT = re.compile(r"(?<=[^\W\d_])\.(?!\d)|(?<=[^\W\d_])\.(?=\d)")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _SPACE = re.compile(r"\s+")
-_SEPARATOR = re.compile(r" \| | – |; | / |,  |(?<=\D), | - |, (?=\S)")
 _MM = {"mm": 1, "cm": 10, "m": 1000}
 
 
@@ -251,7 +251,8 @@ def _single(w: str) -> str:
 
 def _num(x: str) -> str:
     """A number without thousands separators, trailing zeros or needless point."""
-    f = Fraction(x.replace(",", ""))
+    x = x.replace(",", "")
+    f = sum(map(Fraction, re.split("[ -]", x))) if "/" in x else Fraction(x)
     return str(f.numerator) if f.denominator == 1 else f"{float(f):.10g}"
 
 
@@ -266,11 +267,35 @@ def _scaled(n: str, factor: float) -> str:
     return f"{float(n.replace(',', '')) * factor:.10g}"
 
 
+#: Separators of the house styles; a description is cut at the first that it has.
+_CUTS = (" | ", " – ", "; ", " / ", ",  ", " - ", ", ")
+
+
+def pieces(description: str) -> list[str]:
+    for cut in _CUTS:
+        if cut in description:
+            return description.split(cut)
+    return [description]
+
+
+_NAMING = frozenset().union(*(x for _, need in KINDS for x in need)) | {"ca"}
+
+
+_LENGTHS = re.compile(r"(?:centi|kilo|milli)?met(?:re|er)s?$|[ck]?m(?:trs?)?s?$|mm$|mtrs?$|yards?$|yds?$|feet$|foot$|fts?$")
+_VOLUMES = re.compile(r"(?:milli|kilo)?lit(?:re|er)s?$|.*(?:gal|gals|gallons?|quarts?|qts?)$|mls?$|cc$|kl$|l$|lt$|ltrs?$|lits?$|cu|m[3³]$")
+
+
+def dimension(unit: str) -> str:
+    """What a unit spelling of `UNIT` measures."""
+    return "length" if _LENGTHS.match(unit) else "volume" if _VOLUMES.match(unit) else "mass"
+
+
 class Parser:
     """Turns descriptions into profiles, remembering pieces; one per Python worker."""
 
     def __init__(self, remember: int = 300_000):
         self.pieces: dict[str, tuple] = {}
+        self.kinds: dict[frozenset, str | None] = {}
         self.words: dict[str, str] = {w: w for w in WORDS}
         self.by_size: dict[int, list[str]] = {}
         for w in WORDS:
@@ -297,16 +322,34 @@ class Parser:
         return got
 
     def piece(self, text: str) -> tuple:
+        """(words that name kinds, attributes, type numbers, amounts) of one piece."""
         got = self.pieces.get(text)
         if got is None:
             if len(self.pieces) > self.remember:
                 self.pieces.clear()
-            got = self.pieces[text] = self.scan(text)
+            words, attributes, types, amounts = [], [], [], []
+            for k, v in self.scan(text):
+                if k == "w":
+                    if v in _NAMING:
+                        words.append(v)
+                elif k == "amount":
+                    amounts.append(v)
+                elif k == "type":
+                    types.append(v)
+                else:
+                    attributes.append((k, v))
+            got = self.pieces[text] = (frozenset(words), tuple(attributes), tuple(types), tuple(amounts))
+        return got
+
+    def kind(self, words: frozenset) -> str | None:
+        got = self.kinds.get(words, 0)
+        if got == 0:
+            got = self.kinds[words] = next((k for k, need in KINDS if all(words & x for x in need)), None)
         return got
 
     def scan(self, text: str) -> tuple:
         """The features of one piece: (name, value) in order."""
-        s = text.lower().replace("″", '"')
+        s = text.lower().replace("″", '"').replace("best in class", " ")
         if "." in s:
             s = _DOTTED.sub(lambda m: m[0].replace(".", "") + " ", s)
             s = _DOT.sub(" ", s)
@@ -365,8 +408,9 @@ class Parser:
             out.append(("dial", _scaled(g("dn1") or g("dn2"), _MM[g("du1") or g("du2")])))
         elif k == "bore":
             b = g("b1") or g("b2")
-            x = str(int(b)) if b else str(BORES.get(i := _inches(g("b3") or g("b4")), f"{i}in"))
-            out.append(("bore", x))
+            dn = int(b) if b else BORES.get(_inches(g("b3") or g("b4")))
+            if dn in _DN:
+                out.append(("bore", str(dn)))
         elif k == "dia":
             out.append(("diameter", _scaled(g("di1") or g("di2"), _MM[g("iu1") or g("iu2") or "mm"])))
         elif k == "strands":
@@ -415,27 +459,26 @@ class Parser:
                 out.append(("w", _ALSO[inner]))
 
     def profile(self, description: str | None) -> tuple:
-        """(kind, type, {attribute: value}, (times, number, unit) or None, words)."""
+        """(kind, type number, {attribute: value}, (times, number, unit) or None)."""
         if not description:
             return None, None, {}, None
         found: dict[str, str] = {}
-        words: set[str] = set()
+        words: frozenset = frozenset()
         amount = None
         types: list[str] = []
-        loose = []
-        for part in _SEPARATOR.split(description) if len(description) < 400 else [description]:
-            for k, v in self.piece(part):
-                if k == "w":
-                    words.add(v)
-                elif k == "amount":
-                    loose.append(v)
-                elif k == "type":
-                    types.append(v)
-                elif k not in found:
+        loose: list[tuple] = []
+        for part in pieces(description):
+            w, attributes, t, amounts = self.piece(part)
+            if w:
+                words |= w
+            for k, v in attributes:
+                if k not in found:
                     found[k] = v
-                elif k in ("bore", "material", "finish"):
-                    found.setdefault(k + "+", v)
-        kind = next((k for k, need in KINDS if all(words & x for x in need)), None)
+            if t:
+                types += t
+            if amounts:
+                loose += amounts
+        kind = self.kind(words)
         want = FULL.get(kind, ())
         if kind == "flange" and "mounting" in found and not {"bore", "rating"} & found.keys():
             kind = None
@@ -454,7 +497,7 @@ class Parser:
             found["base"] = "bc"
         content = CONTENT.get(kind)
         if content:
-            loose.sort(key=lambda a: -a[3])
+            loose = sorted((x for x in loose if not x[2] or dimension(x[2]) == content), key=lambda x: -x[3])
             amount = loose[0][:3] if loose else None
         else:
             # a bare measure is an attribute here
@@ -484,3 +527,17 @@ _ALSO = {"es": "weld"}
 _FOUR = ("stud", "bolt", "hose", "rope", "gate", "ball", "ring", "pump", "gear", "pipe", "wire", "head", "weld", "neck", "ptfe")
 _THREE = set("hex nut cap joint oil hyd rod foot ends bar mpa kpa lpm min amp rpm kva gms kgs kgm ltr lit qty net can bag box btl mtr cms kms yds lbs lbm ozs qts gal gals mic pct nlg dia drg nos pcs set ref old new top per and for the sch deg asme iso din iec aws api ptc mma pvc epr nbr hdg blk pln zinc scr skt flg wfr rtj nps std. ansi moc len low red sky pre tub ton fee fts mts nb raw air pad pat".split())
 _KEEP = {"iron", "ends", "body", "type", "poly", "fully", "mounted", "volts", "amps", "dial", "bars", "size", "gate", "hose", "rope", "bolt", "pump", "ball", "ring", "pipe", "wire"}
+
+
+_UOM = re.compile(r"^[^\w]*(?:(?:in|per)\s+)?(?:(\d[\d,]*(?:\.\d+)?)[\s-]*)?([^\W\d_][^\d]*?)?[\s-]*(\d[\d,]*(?:\.\d+)?)?[^\w]*$")
+
+
+def unit_of_issue(uom: str | None) -> tuple[str | None, str]:
+    """(amount written into it or None, spelling of the unit) of a unit of issue."""
+    if not uom:
+        return None, ""
+    m = _UOM.match(_DOTTED.sub(lambda m: m[0].replace(".", ""), uom.strip().lower()))
+    if not m:
+        return None, ""
+    n = m[1] or m[3]
+    return (_num(n) if n else None), " ".join(re.findall(r"[^\W\d_]+", m[2] or ""))
