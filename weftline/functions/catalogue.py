@@ -28,8 +28,8 @@ KINDS = [
     ("epoxy primer", [{"primer", "prim", "epoxy"}]),
     ("electrode", [{"electrode"}]),
     ("powder", [{"powder", "descaler", "descaling"}]),
-    ("filter element", [{"filter"}]),
-    ("pressure gauge", [{"gauge"}]),
+    ("filter element", [{"filter", "element", "cartridge"}]),
+    ("pressure gauge", [{"gauge", "bourdon"}]),
     ("centrifugal pump", [{"pump"}]),
     ("cable", [{"cable"}]),
     ("rubber hose", [{"hose"}]),
@@ -39,10 +39,11 @@ KINDS = [
     ("elbow", [{"elbow"}]),
     ("seamless pipe", [{"pipe", "seamless", "smls"}]),
     ("stud bolt", [{"stud"}]),
-    ("socket head screw", [{"shcs", "allen", "screw", "socket"}]),
+    ("socket head screw", [{"shcs", "schs", "shsc", "hscs", "allen", "screw", "socket"}]),
     ("hex nut", [{"nut"}]),
     ("hex bolt", [{"bolt"}]),
     ("flange", [{"flange"}]),
+    ("pressure gauge", [{"pressure"}]),
 ]
 FULL = {
     "hex bolt": ("thread", "grade", "finish"),
@@ -122,7 +123,7 @@ _PATTERNS = [
     ("std", r"(?:asme|astm|api|aws|din|iso|iec|en)(?: ptc)?[ -]?[a-z]?[ -]?\d+(?:\.\d+)?[a-z]?|is[ -]\d{3,4}(?!\d)|bs[ -]\d{3,4}(?!\d)|iso[ -]?\d{4,5}"),
     ("amount", rf"(?:(?P<hold>{_HOLD})[ :]*)?(?P<times>\d+) ?(?:nos|no|pcs|ea)? ?x ?(?P<n1>{_N})[ -]?(?P<u1>{UNIT})(?![a-z0-9/³²])(?: {_PER})?"),
     ("thread", r"(?:dia )?m ?(?P<td>\d{1,2})(?: ?x ?| length )(?P<tl>\d+(?:\.\d+)?) ?(?P<tu>mm|cm|m)?(?![a-z0-9.])"),
-    ("cores", r"(?P<co1>\d+) ?(?:c|cores?)[ -]?x?[ -]?(?P<sq1>\d+(?:\.\d+)?)(?: ?(?:sq ?mm|mm2|mm²))?(?![0-9.])|(?P<sq2>\d+(?:\.\d+)?) ?(?:sq ?mm|mm2|mm²)[ -]?x?[ -]?(?P<co2>\d+) ?(?:cores?|c)(?![a-z])"),
+    ("cores", r"(?P<co1>\d{1,2}) ?(?:c|cores?)[ -]?x?[ -]?(?P<sq1>\d+(?:\.\d+)?)(?: ?(?:sq ?mm|mm2|mm²))?(?![0-9.])|(?P<sq2>\d+(?:\.\d+)?) ?(?:sq ?mm|mm2|mm²)[ -]?x?[ -]?(?P<co2>\d+) ?(?:cores?|c)(?![a-z])"),
     ("flow", r"(?P<fn>\d+(?:\.\d+)?) ?(?P<fu>lit/min|l/min|lpm|m³/hr?|m3/hr?|cum/hr?|cum/hour)"),
     ("head", r"(?:h=|head:? )(?P<hn1>\d+(?:\.\d+)?) ?(?P<hu1>mm|cm|m)(?![a-z])|(?P<hn2>\d+(?:\.\d+)?) ?(?P<hu2>mm|cm|m) head"),
     ("range", r"(?:range )?0 ?(?:-|to) ?(?P<rn>\d+(?:\.\d+)?) ?(?P<ru>bar|mpa|kpa)"),
@@ -145,7 +146,7 @@ _PATTERNS = [
     ("nlgi", r"nlgi(?: grade)?[ -]?(?P<nl>0{1,3}|\d)(?!\d)"),
     ("purity", r"(?P<pu1>\d+(?:\.\d+)?) ?(?:%|pct|percent)(?: (?:min|pure))?"),
     ("micron", r"(?P<mi>\d+(?:\.\d+)?) ?(?:microns?|mic(?![a-z])|um(?![a-z])|μm|µm)"),
-    ("designation", r"(?:no|desig|designation|brg)[ :]*(?P<de>\d{4,5})(?!\d)|(?P<de2>6[0234]\d\d)(?![\d.,])(?![ -]?(?:[a-z]{1,4}(?![a-z])|ounces|grams|us |pounds|yards|feet|lit|mil|x))"),
+    ("designation", r"(?:no|desig|designation|brg)[ :]*(?P<de>\d{4,5})(?!\d)|(?P<de2>6[0234]\d\d)(?![\d.,])(?![ -]?(?:(?:ma|v|w|kw|mm|cms?|m|kpa|bar|oz|ozs|gms?|g|kgs?|lbs?|mls?|cc|ltrs?|l|yds?|ft|kms?)(?![a-z])|ounces|grams|us |pounds|yards|feet|lit|mil|x))"),
     ("clearance", r"(?:clearance |clr )?c ?-?(?P<cl>[2345n])(?: clr)?(?![a-z0-9])|(?P<cln>normal clearance)"),
     ("seal", r"(?P<se2>2 ?-?rs1?(?![a-z0-9])|sealed both sides|rubber sealed)|(?P<sez>z ?-?z(?![a-z0-9])|metal shielded|2z(?![a-z0-9]))|(?P<seo>unsealed|no seal|open(?: type)?)"),
     ("amount2", rf"(?:(?P<hold2>{_HOLD})[ :]*)(?P<n2>{_N})(?:[ -]?(?P<u2>{UNIT})(?![a-z0-9/³²]))?(?![\d.])"),
@@ -524,7 +525,7 @@ _INNER = {
 #: Phrases that also name a kind.
 _ALSO = {"es": "weld"}
 #: Short nouns that a lost letter may have cut to three, and three-letter words that stand for themselves.
-_FOUR = ("stud", "bolt", "hose", "rope", "gate", "ball", "ring", "pump", "gear", "pipe", "wire", "head", "weld", "neck", "ptfe")
+_FOUR = ("stud", "bolt", "hose", "rope", "gate", "ball", "ring", "pump", "gear", "pipe", "wire", "head", "weld", "neck", "ptfe", "cast", "iron", "butt")
 _THREE = set("hex nut cap joint oil hyd rod foot ends bar mpa kpa lpm min amp rpm kva gms kgs kgm ltr lit qty net can bag box btl mtr cms kms yds lbs lbm ozs qts gal gals mic pct nlg dia drg nos pcs set ref old new top per and for the sch deg asme iso din iec aws api ptc mma pvc epr nbr hdg blk pln zinc scr skt flg wfr rtj nps std. ansi moc len low red sky pre tub ton fee fts mts nb raw air pad pat".split())
 _KEEP = {"iron", "ends", "body", "type", "poly", "fully", "mounted", "volts", "amps", "dial", "bars", "size", "gate", "hose", "rope", "bolt", "pump", "ball", "ring", "pipe", "wire"}
 
