@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import canonical, consolidate, percentiles, survivor
+from weftline.llm import canonical, consolidate, percentiles, resolve, survivor
 from weftline.sources.tables import table as t
 
 
+def p2_found(spark, d):
+    return resolve.same_products(t(spark, d, "iocl_materials"), t(spark, d, "uom_list"))
+
+
+def p2_groups(spark, d):
+    return resolve.product_groups(t(spark, d, "iocl_materials"), t(spark, d, "uom_list"))
+
+
 def p3_found(spark, d):
     return canonical.canonical_values(t(spark, d, "iocl_materials"), t(spark, d, "uom_list"), t(spark, d, "category_list"))
 
@@ -35,6 +43,8 @@ def p6_found(spark, d):
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_percentiles": p5_percentiles,
