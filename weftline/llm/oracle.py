@@ -1,7 +1,7 @@
 """SQL for the queries that SQL can express."""
 
 _PLAIN = r"regexp_matches(trim(last_rate_inr), '^[0-9][0-9,]*(\.[0-9]+)?$')"
-_VALUES = f"SELECT category_hint, CAST(replace(trim(last_rate_inr), ',', '') AS DOUBLE) AS v FROM iocl_materials WHERE {_PLAIN}"
+_VALUES = f"SELECT category_hint, file_id, CAST(replace(trim(last_rate_inr), ',', '') AS DOUBLE) AS v FROM iocl_materials WHERE {_PLAIN}"
 
 P4 = """
 WITH RECURSIVE k AS (SELECT DISTINCT cpse || '|' || upper(trim(material_code)) AS k FROM iocl_materials WHERE trim(material_code) <> ''),
@@ -20,16 +20,18 @@ g(node, label) USING KEY (node) AS (
 SELECT split_part(node, '|', 1) AS cpse, substr(node, strpos(node, '|') + 1) AS material_code, label AS group_id FROM g
 """
 
-P5 = f"""
-WITH v AS ({_VALUES}),
-r AS (SELECT category_hint, v, row_number() OVER (PARTITION BY category_hint ORDER BY v) AS i, count(*) OVER (PARTITION BY category_hint) AS n FROM v)
-SELECT category_hint, max(n) AS n,
+_P5 = """
+WITH v AS ({values}),
+r AS (SELECT {by}, v, row_number() OVER (PARTITION BY {by} ORDER BY v) AS i, count(*) OVER (PARTITION BY {by}) AS n FROM v)
+SELECT {by}, max(n) AS n,
   max(CASE WHEN i = greatest(1, ceil(0.5::DOUBLE * n)) THEN v END) AS p50,
   max(CASE WHEN i = greatest(1, ceil(0.9::DOUBLE * n)) THEN v END) AS p90,
   max(CASE WHEN i = greatest(1, ceil(0.95::DOUBLE * n)) THEN v END) AS p95,
   max(CASE WHEN i = greatest(1, ceil(0.99::DOUBLE * n)) THEN v END) AS p99
-FROM r GROUP BY category_hint
+FROM r GROUP BY {by}
 """
+P5 = _P5.format(values=_VALUES, by="category_hint")
+P5_FILES = _P5.format(values=_VALUES, by="category_hint, file_id")
 
 P6 = r"""
 WITH m AS (
@@ -50,4 +52,4 @@ SELECT cpse, material_code, coalesce(desc_rec, 0) AS desc_rec, coalesce(uom_rec,
 FROM g LEFT JOIN d USING (cpse, material_code) LEFT JOIN u USING (cpse, material_code) LEFT JOIN r USING (cpse, material_code)
 """
 
-ORACLE = {"p4_found": P4, "p5_percentiles": P5, "p6_found": P6}
+ORACLE = {"p4_found": P4, "p5_percentiles": P5, "p5_file_percentiles": P5_FILES, "p6_found": P6}

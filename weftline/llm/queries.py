@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import canonical, consolidate, percentiles, resolve, survivor
+from weftline.llm import canonical, consolidate, garbled, percentiles, resolve, survivor
 from weftline.sources.tables import table as t
 
 
@@ -42,13 +42,26 @@ def p6_found(spark, d):
     return survivor.surviving_listings(t(spark, d, "iocl_materials"), t(spark, d, "extract_files"))
 
 
+def p10_found(spark, d):
+    return garbled.garbled_documents(t(spark, d, "documents"))
+
+
+def p5_file_percentiles(spark, d):
+    """(category_hint, file_id, n, p50, p90, p95, p99) of each file's own plain rates, exact."""
+    m = t(spark, d, "iocl_materials")
+    v = m.select("category_hint", "file_id", percentiles.plain_number(F.col("last_rate_inr")).alias("v"))
+    return percentiles.radix_select(v, ["category_hint", "file_id"], "v").toDF("category_hint", "file_id", "n", "p50", "p90", "p95", "p99")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p5_file_percentiles": p5_file_percentiles,
     "p5_percentiles": p5_percentiles,
     "p5_states": p5_states,
     "p5_combined": p5_combined,
     "p6_found": p6_found,
+    "p10_found": p10_found,
 }
