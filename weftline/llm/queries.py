@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.llm import canonical, consolidate, garbled, percentiles, resolve, survivor
+from weftline.llm import canonical, consolidate, garbled, mixture, packing, percentiles, resolve, survivor
 from weftline.sources.tables import table as t
 
 
@@ -42,6 +42,24 @@ def p6_found(spark, d):
     return survivor.surviving_listings(t(spark, d, "iocl_materials"), t(spark, d, "extract_files"))
 
 
+def p8_packed(spark, d):
+    """Every piece of every document in a container, for each capacity."""
+    placed = packing.packed_documents(t(spark, d, "documents"), t(spark, d, "pack_sizes"))
+    return placed.select("pack_name", "pack_id", "doc_id", "piece", "tokens")
+
+
+def p8_report(spark, d):
+    return packing.packing_report(t(spark, d, "documents"), t(spark, d, "pack_sizes"))
+
+
+def p9_mixture(spark, d):
+    return mixture.mixed_documents(t(spark, d, "documents"), t(spark, d, "source_targets"))
+
+
+def p9_shares(spark, d):
+    return mixture.reached_shares(t(spark, d, "documents"), t(spark, d, "source_targets"))
+
+
 def p10_found(spark, d):
     return garbled.garbled_documents(t(spark, d, "documents"))
 
@@ -63,5 +81,9 @@ QUERIES = {
     "p5_states": p5_states,
     "p5_combined": p5_combined,
     "p6_found": p6_found,
+    "p8_packed": p8_packed,
+    "p8_report": p8_report,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
 }
