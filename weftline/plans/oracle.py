@@ -1,6 +1,6 @@
 """SQL for the core's queries that SQL can express."""
 
-from weftline.plans import catalogue_queries
+from weftline.plans import catalogue_queries, match_queries
 
 _F = r'(?:"(?:[^"]|"")*"|[^",]*)'
 _FIELD = r'("(?:[^"]|"")*"|[^",]*)'
@@ -34,4 +34,4 @@ P1_VALID = (
   TRY_CAST(replace(trim(c6), ',', '') AS DECIMAL(38, 6)) AS last_rate_inr FROM v WHERE reason IS NULL"""
 )
 
-ORACLE = {"p1_found": P1_FOUND, "p1_valid": P1_VALID, **catalogue_queries.ORACLE}
+ORACLE = {"p1_found": P1_FOUND, "p1_valid": P1_VALID, **catalogue_queries.ORACLE, **match_queries.ORACLE}

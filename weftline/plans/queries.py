@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.operators import rejects, units
-from weftline.plans import catalogue_queries
+from weftline.plans import catalogue_queries, match_queries
 from weftline.sources.tables import table as t
 
 
@@ -24,4 +24,4 @@ def p7_scales(spark, d):
     return units.scale_report(t(spark, d, "iocl_materials"), t(spark, d, "uom_list"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_valid": p1_valid, "p7_found": p7_found, "p7_scales": p7_scales, **catalogue_queries.QUERIES}
+QUERIES = {"p1_found": p1_found, "p1_valid": p1_valid, "p7_found": p7_found, "p7_scales": p7_scales, **catalogue_queries.QUERIES, **match_queries.QUERIES}
