@@ -131,7 +131,7 @@ def reached_shares(docs: DataFrame, targets: DataFrame, vocabulary: str = tokens
     sized = sized_documents(docs, store, vocabulary)
     got = mix(sized, targets).groupBy("source").agg(F.count("*").alias("taken_records"), F.sum("tokens").alias("taken"), F.max("copy").alias("most_repeats"))
     have = sized.groupBy("source").agg(F.sum("tokens").alias("available"))
-    out = have.join(targets, "source", "full").join(got, "source", "left").fillna({"available": 0, "taken_records": 0, "taken": 0, "most_repeats": 0})
+    out = have.join(targets.select("source", "target_share", "max_repeats"), "source", "full").join(got, "source", "left").fillna({"available": 0, "taken_records": 0, "taken": 0, "most_repeats": 0})
     total = got.agg(F.sum("taken").alias("total"))
     out = out.join(F.broadcast(total), how="inner")  # one row
     return out.select("source", "target_share", "max_repeats", "available", "taken_records", "taken", F.round(F.coalesce(F.col("taken") / F.col("total"), F.lit(0.0)), 6).alias("reached_share"), "most_repeats")
