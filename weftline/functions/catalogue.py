@@ -158,7 +158,7 @@ _PATTERNS = [
     ("finish", r"(?P<fh>hdg|hot[ -]?[a-z]{0,3}[ -]?galv[a-z]*)|(?P<fz>zinc ?plat?t?e?d?|zinc ?plt|zn ?pltd|zn ?plated|zp(?![a-z]))|(?P<fb>blk ?oxide|blk ?ox|black ?oxide|blackened)|(?P<ft>(?:ptfe|teflon|pfe|pte|ptf) ?(?:coated|coat|ctd))|(?P<fp>self ?colour|plain ?finish|plain|pln(?![a-z]))"),
     ("material", r"(?P<xd>uns duplex|duplex stainless(?: steel)?|duplex ss|duplex|dss)|(?P<xc>carbon steel|carb steel|cs(?![a-z]))|(?P<xi>grey cast iron|cast iron|ci(?![a-z]))|(?P<xf>forged steel|frgd steel|fs(?![a-z]))|(?P<xb>gun metal bronze|bronze body|bronze|brz(?![a-z]))"),
     ("filling", r"(?P<gp>ptfe|teflon)|(?P<gn>nitrile rubber|nbr)|(?P<ge>epdm|ethylene propylene)|(?P<gc>(?:compressed )?non asbestos fibre|compressed fibre|cnaf)|(?P<gg>graphite filler|graphite filled|graph filled|graphite)"),
-    ("ends", r"(?P<ef>flanged ends?|flgd ends?|flanged|flgd|flg(?![a-z]))|(?P<es>socket weld(?:ed)?|skt weld(?:ed)?|sw(?![a-z]))|(?P<eb>butt weld(?:ed)?|bw(?![a-z]))|(?P<ew>wafer(?: patt(?:ern)?| type)?|wfr(?![a-z]))|(?P<ec>screwed|threaded npt|scrd|scr(?![a-z])|threaded(?! stud))"),
+    ("ends", r"(?P<ef>flanged ends?|flgd ends?|flanged|flgd|flg(?![a-z]))|(?P<es>(?:socket|skt) (?!head|hd|cap|screw)[a-z]{3,6}(?![a-z])|sw(?![a-z]))|(?P<eb>butt [a-z]{3,6}(?![a-z])|bw(?![a-z]))|(?P<ew>wafer(?: patt(?:ern)?| type)?|wfr(?![a-z]))|(?P<ec>screwed|threaded npt|scrd|scr(?![a-z])|threaded(?! stud))"),
     ("insulation", r"(?P<ip>pvc|poly ?-?vinyl(?: chloride)?)|(?P<ix>xlpe|cross linked pe|cross linked)|(?P<ie>epr|ethylene pr[a-z]*|ethylene)"),
     ("base", r"(?P<bl>(?:lithium|lith|li)[ -]?(?:ep|complex)|lithium|lith(?![a-z])|li (?:base|soap|thickener|content)|li(?![a-z]))|(?P<bc>calcium|calc(?![a-z])|ca(?![a-z]))|(?P<bp>polyurea|urea|pu (?:base|soap|thickener)|pu(?![a-z]))"),
     ("colour", r"(?P<cw>golden yellow|oxide brown|signal red|sky blue|white|green|grey|gray|black)"),
