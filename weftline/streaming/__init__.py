@@ -1 +1 @@
-"""Part of weftline."""
+"""The catalogue pipeline has no streams; see the README."""
