@@ -130,7 +130,7 @@ _PATTERNS = [
     ("press", r"(?:wp )?(?P<pn>\d+(?:\.\d+)?) ?(?P<pu>bar|mpa|kpa)(?: (?:wp|working))?"),
     ("length", r"(?:l=|length:? )(?P<ln1>\d+(?:\.\d+)?) ?(?P<lu1>mm|cm|m)(?![a-z])|(?P<ln2>\d+(?:\.\d+)?) ?(?P<lu2>mm|cm|m) (?:lg|long)(?![a-z])"),
     ("dial", r"dial(?: size)?:? (?P<dn1>\d+(?:\.\d+)?) ?(?P<du1>mm|cm)|(?P<dn2>\d+(?:\.\d+)?) ?(?P<du2>mm|cm) dial"),
-    ("bore", r"(?P<b1>\d{1,3}) ?(?:mm )?nb(?![a-z\d])|dn ?(?P<b2>\d{1,3})(?![\do]|[./-]\d)|nps ?(?P<b3>\d+-\d/\d|\d+/\d+|\d+(?:\.\d+)?)|(?P<b4>\d+-\d/\d|\d+/\d+|\d+(?:\.\d+)?) ?(?:\"|inch(?:es)?(?![a-z])|in(?![a-z]))"),
+    ("bore", r"(?P<b1>\d{1,3}) ?(?:mm )?nb(?![a-z\d])|dn ?(?P<b2>15|20|25|32|40|50|65|80|100|125|150|200|250|[3-6]00|350|450)(?![\do]|[./-]\d| \d{3}(?![\d #]|lb))|nps ?(?P<b3>\d+-\d/\d|\d+/\d+|\d+(?:\.\d+)?)|(?P<b4>\d+-\d/\d|\d+/\d+|\d+(?:\.\d+)?) ?(?:\"|inch(?:es)?(?![a-z])|in(?![a-z]))"),
     ("nutthread", r"(?P<nt>\d{1,2}) ?mm thread"),
     ("dia", r"(?:ø ?|dia:? )(?P<di1>\d+(?:\.\d+)?)(?: ?(?P<iu1>mm|cm)(?![a-z]))?|(?P<di2>\d+(?:\.\d+)?) ?(?P<iu2>mm|cm) dia(?![a-z])"),
     ("strands", r"(?P<st>[68] ?[x/] ?\d\d)(?: constr)?(?![0-9])"),
@@ -300,7 +300,7 @@ class Parser:
         self.words: dict[str, str] = {w: w for w in WORDS}
         self.by_size: dict[int, list[str]] = {}
         for w in WORDS:
-            if len(w) >= 4:
+            if len(w) >= 4 and w not in _CUT_WORDS:
                 self.by_size.setdefault(len(w), []).append(w)
         self.remember = remember
 
@@ -524,6 +524,8 @@ _INNER = {
 }
 #: Phrases that also name a kind.
 _ALSO = {"es": "weld"}
+#: Abbreviations stand for themselves; nothing is taken for a misspelling of one.
+_CUT_WORDS = {"lith", "flgd", "frgd", "scrd", "patt", "prim", "mtrs", "ltrs", "galv", "carb"}
 #: Short nouns that a lost letter may have cut to three, and three-letter words that stand for themselves.
 _FOUR = ("stud", "bolt", "hose", "rope", "gate", "ball", "ring", "pump", "gear", "pipe", "wire", "head", "weld", "neck", "ptfe", "cast", "iron", "butt")
 _THREE = set("hex nut cap joint oil hyd rod foot ends bar mpa kpa lpm min amp rpm kva gms kgs kgm ltr lit qty net can bag box btl mtr cms kms yds lbs lbm ozs qts gal gals mic pct nlg dia drg nos pcs set ref old new top per and for the sch deg asme iso din iec aws api ptc mma pvc epr nbr hdg blk pln zinc scr skt flg wfr rtj nps std. ansi moc len low red sky pre tub ton fee fts mts nb raw air pad pat".split())
