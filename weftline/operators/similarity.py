@@ -38,11 +38,12 @@ def grams(df: DataFrame, key: str, text: str, low: int = 2, high: int = 4) -> Da
     return padded.select(key, F.explode(each).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
 
 
-def tfidf(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, gram, w): sublinear term frequency, smoothed idf, unit length."""
+def tfidf(df: DataFrame, key: str, text: str, times: str | None = None) -> DataFrame:
+    """(key, gram, w): sublinear term frequency, smoothed idf, unit length; a row counts `times` times in the idf."""
     g = grams(df, key, text)
-    total = df.filter(F.col(text).isNotNull()).agg(F.count("*").alias("total"))
-    df_ = g.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(total)  # total has one row
+    many = F.sum(times) if times else F.count("*")
+    total = df.filter(F.col(text).isNotNull()).agg(many.alias("total"))
+    df_ = (g.join(df.select(key, times), key) if times else g).groupBy("gram").agg(many.alias("df")).crossJoin(total)  # total has one row
     raw = g.join(df_, "gram").select(key, "gram", ((1 + F.log("n")) * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1)).alias("w"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
     return raw.join(norm, key).select(key, "gram", (F.col("w") / F.col("len")).alias("w"))
@@ -56,6 +57,21 @@ def cosine_pairs(weights: DataFrame, blocks: DataFrame, key: str, block: str, fl
     return a.join(b, [block, "gram"]).filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")).filter(F.col("sim") >= floor)
 
 
+def text_pairs(df: DataFrame, key: str, text: str, block: str, floor: float) -> DataFrame:
+    """(a, b, sim), a < b of one block: each two texts are compared once, and their records take it over."""
+    texts = df.groupBy(text).agg(F.min(key).alias("rep"), F.count("*").alias("times"))
+    w = tfidf(texts, "rep", text, "times")
+    held = df.join(texts.select(text, "rep"), text).select(F.col(key).alias("id"), F.col(block).alias("block"), "rep")
+    blocks = held.select("rep", "block").distinct()
+    x, y = blocks.select(F.col("rep").alias("p"), "block"), blocks.select(F.col("rep").alias("q"), "block")
+    meet = x.join(y, "block").filter("p <= q").select("p", "q").distinct()
+    a, b = w.select(F.col("rep").alias("p"), "gram", F.col("w").alias("wa")), w.select(F.col("rep").alias("q"), "gram", F.col("w").alias("wb"))
+    near = a.join(meet, "p").join(b, ["q", "gram"]).groupBy("p", "q").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")).filter(F.col("sim") >= floor)
+    m, n = held.select(F.col("id").alias("i"), "block", F.col("rep").alias("p")), held.select(F.col("id").alias("j"), "block", F.col("rep").alias("q"))
+    each = near.join(m, "p").join(n, ["q", "block"]).filter("p < q or i < j")
+    return each.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "sim")
+
+
 def dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

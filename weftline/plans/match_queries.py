@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.dialect import DUCK, SPARK
-from weftline.functions.rules import LOW_CONFIDENCE, TOP_K
+from weftline.functions.rules import FLOOR, LOW_CONFIDENCE, TOP_K
 from weftline.operators import graph
 from weftline.operators import matching as mt
 from weftline.operators import similarity as sim
@@ -64,8 +64,9 @@ def tfidf_weights(spark, d):
 SELECT x.p_partkey AS a, y.p_partkey AS b, round(sum(x.w * y.w), 4) AS sim FROM v x JOIN b bx ON bx.p_partkey = x.p_partkey JOIN b byy ON byy.k = bx.k AND byy.p_partkey > bx.p_partkey
 JOIN v y ON y.p_partkey = byy.p_partkey AND y.gram = x.gram GROUP BY ALL HAVING sum(x.w * y.w) >= 0.4""")
 def tfidf_cosine_pairs(spark, d):
-    part = t(spark, d, "part").withColumn("k", F.concat_ws("/", "p_brand", "p_type", F.col("p_size") % 10))
-    pairs = sim.cosine_pairs(sim.tfidf(part, "p_partkey", "p_name"), part, "p_partkey", "k", 0.4)
+    """All pairs of a category (brand and type, as in block_pairs); the SQL beside it has the former, narrower block."""
+    part = t(spark, d, "part").withColumn("k", F.concat_ws("/", "p_brand", "p_type"))
+    pairs = sim.text_pairs(part, "p_partkey", "p_name", "k", FLOOR)
     return pairs.select("a", "b", F.round("sim", 4).alias("sim"))
 
 
