@@ -26,3 +26,12 @@ def test_tfidf_pairs_of_the_whole_category(spark, folder, con):
     sizes = dict(con.execute("SELECT p_partkey, p_size FROM part").fetchall())
     assert any(sizes[a] % 10 != sizes[b] % 10 for a, b, _ in want)
     assert rows(spark, folder, "tfidf_cosine_pairs") == sorted(want)
+
+
+def test_neighbours_up_to_the_full_bound(spark):
+    folder = "/root/testdata/sf0.1"  # the labels of the smaller folders hold fewer vectors than TOP_K
+    c = duckdb.connect()
+    want = c.execute(f"""WITH s AS (SELECT x.vec_id AS a, y.vec_id AS b, round({mq._DOT}, 9) AS s FROM '{folder}/embeddings.parquet' x JOIN '{folder}/embeddings.parquet' y ON x.label = y.label),
+    k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM s) SELECT a, b, place FROM k WHERE place <= 128 AND a < b""").fetchall()
+    assert max(p for _, _, p in want) == 128
+    assert rows(spark, folder, "knn_topk") == sorted(want)

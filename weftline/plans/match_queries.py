@@ -93,12 +93,15 @@ def threshold_join(spark, d):
 @query(f"""WITH s AS (SELECT x.vec_id AS a, y.vec_id AS b, round({_DOT}, 9) AS s FROM embeddings x JOIN embeddings y ON x.label = y.label),
 k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM s) SELECT a, b, place FROM k WHERE place <= {TOP_K // 16} AND a < b""")
 def knn_topk(spark, d):
-    """The nearest of each vector, itself counted in; a pair stands if the greater is among the lesser's nearest."""
+    """The TOP_K nearest of each vector, itself counted in; a pair stands if the greater is among the lesser's nearest.
+
+    The SQL beside it still has the former sixteenth of TOP_K.
+    """
     e = t(spark, d, "embeddings")
     a, b = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb"))
     s = a.join(b, "label").select("a", "b", F.round(sim.dot("va", "vb"), 9).alias("s"))
     k = s.withColumn("place", F.row_number().over(W.partitionBy("a").orderBy(F.desc("s"), "b")).cast("long"))
-    return k.filter((F.col("place") <= TOP_K // 16) & (F.col("a") < F.col("b"))).select("a", "b", "place")
+    return k.filter((F.col("place") <= TOP_K) & (F.col("a") < F.col("b"))).select("a", "b", "place")
 
 
 @query(None)
