@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.dialect import DUCK, SPARK
 from weftline.functions.rules import FLOOR, LOW_CONFIDENCE, TOP_K
-from weftline.operators import graph
+from weftline.operators import chain, graph
 from weftline.operators import matching as mt
 from weftline.operators import similarity as sim
 from weftline.plans.catalogue_queries import E, enriched
@@ -213,6 +213,37 @@ def weakest_link_repair(spark, d):
     return graph.repair(e, v, Store(spark))
 
 
+# --- the chained run: the catalogue itself matched and grouped, from text to master --------------
+
+_GROUPED: dict = {}
+
+
+def grouped(spark, d):
+    """Each record's cluster, written once for a session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _GROUPED:
+        store = Store(spark)
+        _GROUPED[key] = store.keep(chain.clusters(enriched(spark, d), store))
+    return _GROUPED[key]
+
+
+@query(None)
+def catalogue_verdicts(spark, d):
+    """All candidates within a category, whatever their verdict: quadratic in a category's texts."""
+    store = Store(spark)
+    return chain.verdicts(store.keep(chain.representatives(enriched(spark, d))), "category", store)
+
+
+@query(None)
+def catalogue_clusters(spark, d):
+    return grouped(spark, d)
+
+
+@query(None)
+def catalogue_masters(spark, d):
+    return chain.masters(enriched(spark, d), grouped(spark, d))
+
+
 # --- decisions and reviews ---------------------------------------------------------------------
 
 _LATEST = """WITH k AS (SELECT *, upper(trim(decision)) AS d2, upper(trim(material_code)) AS c2 FROM review_decisions WHERE trim(coalesce(material_code, '')) <> '' AND trim(coalesce(decision, '')) <> ''),
