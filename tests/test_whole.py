@@ -87,3 +87,24 @@ def test_records_that_differ_in_an_attribute_are_grouped(spark):
     got = {r.cluster: r for r in chain.masters(e, c).collect()}
     assert got[0].orgs == "A,B" and "END=FLG" in got[0].canon and got[0].status == "AUTO_MATCHED"
     assert got[2].status == "UNIQUE" and got[3].status == got[4].status == "PROVISIONAL" and got[3].nmc != got[4].nmc
+
+
+def test_every_attribute_of_every_item_is_merged(spark, folder):
+    from collections import Counter, defaultdict
+
+    from weftline.operators.enrich import KEYS
+    from weftline.plans.catalogue_queries import enriched
+
+    q = entry.queries()
+    cluster = {r.rec_id: r.cluster for r in q["catalogue_clusters"](spark, folder).collect()}
+    seen = defaultdict(lambda: defaultdict(list))
+    for r in sorted(enriched(spark, folder).collect(), key=lambda r: r.rec_id):
+        for k in KEYS:
+            if r[f"a_{k}"] is not None:
+                seen[str(cluster[r.rec_id])][k].append(r[f"a_{k}"])
+    want = {}
+    for g, a in seen.items():
+        best = {k: ",".join(sorted({x for v in vs for x in v.split(",")})) if k == "std" else Counter(vs).most_common(1)[0][0] for k, vs in a.items()}
+        want[g] = ";".join(f"{k}={best[k]}" for k in sorted(best))
+    got = dict(rows(spark, folder, "merge_attrs"))
+    assert got == want

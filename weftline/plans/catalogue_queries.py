@@ -329,11 +329,12 @@ c AS (SELECT g, k, v, count(*) AS n, min(rec_id) AS first FROM x GROUP BY ALL),
 b AS (SELECT g, k, v FROM c QUALIFY row_number() OVER (PARTITION BY g, k ORDER BY n DESC, first) = 1)
 SELECT g, string_agg(k || '=' || v, ';' ORDER BY k) AS attrs FROM b GROUP BY g""".replace("c AS (SELECT g", "cc AS (SELECT g").replace("FROM c QUALIFY", "FROM cc QUALIFY"))
 def merge_attrs(spark, d):
-    """Attribute by attribute the majority of a group's values."""
+    """Of each item (cluster) every attribute's majority, and all its standards; the SQL beside it has two attributes of two types."""
     from weftline.operators.registry import merge_attributes
+    from weftline.plans.match_queries import grouped
 
-    e = enriched(spark, d).filter("fine in ('hex bolt', 'stud bolt')").withColumn("g", F.concat("fine", F.lit("|"), "unit"))
-    return merge_attributes(e, "g", ["thread", "material"], "rec_id")
+    e = enriched(spark, d).join(grouped(spark, d), "rec_id").withColumn("g", F.col("cluster").cast("string"))
+    return merge_attributes(e, "g", en.KEYS, "rec_id", ("std",))
 
 
 # --- views on the registry -------------------------------------------------------------------
