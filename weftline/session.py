@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def session(master: str = "local[8]", partitions: int = 8) -> SparkSession:
@@ -56,6 +56,12 @@ class Store:
         got._weftline_path = path
         return got
 
+    def measure(self, df: DataFrame, **what: Column) -> tuple[DataFrame, dict]:
+        """keep(df), and aggregates over its rows taken while it is written."""
+        seen = Observation()
+        got = self.keep(df.observe(seen, *(c.alias(n) for n, c in what.items())))
+        return got, seen.get
+
     def drop(self, df: DataFrame) -> None:
         """Removes a kept table that nothing will read again."""
         path = getattr(df, "_weftline_path", None)
