@@ -92,9 +92,10 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["field", "value", "mode", "token", "of", "whole"])
 
 
-def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _variants(batches: Iterator[pd.DataFrame], longest: int) -> Iterator[pd.DataFrame]:
+    """What each token leaves; one longer than any known word by more than two slips is near none of them."""
     for b in batches:
-        rows = [(f, t, r) for f, t in zip(b["field"], b["token"]) for r in _remains(t)]
+        rows = [(f, t, r) for f, t in zip(b["field"], b["token"]) if len(t) <= longest + 2 for r in _remains(t)]
         yield pd.DataFrame(rows, columns=["field", "token", "rest"])
 
 
@@ -127,7 +128,8 @@ def repair(values: DataFrame, lists: DataFrame, store: Store, threshold: float =
     known = vocabulary.select("field", "word", F.col("word").alias("token")).unionByName(plural)
     known_rest = known.mapInPandas(_variants_of_known, "field string, word string, token string, rest string")
     seen = cut.select("field", "token").distinct()
-    seen_rest = seen.mapInPandas(_variants, "field string, token string, rest string")
+    longest = known.agg(F.max(F.length("token"))).first()[0] or 0
+    seen_rest = seen.mapInPandas(lambda it: _variants(it, longest), "field string, token string, rest string")
     met = seen_rest.join(known_rest.withColumnRenamed("token", "spelt"), ["field", "rest"]).select("field", "token", "word", "spelt").distinct()
     near = met.withColumn("d", _distance("token", "spelt")).filter(F.col("d") <= F.when(F.length("token") < 4, 0).when(F.length("token") < 6, 1).otherwise(2))
     near = store.keep(near.groupBy("field", "token", "word").agg(F.max(1 - F.col("d") / F.greatest(F.length("token"), F.length("spelt"))).alias("sim")))

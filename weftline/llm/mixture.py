@@ -1,14 +1,15 @@
 """Mixing sources to target weights, with capped repeats.
 
-Method: Poisson replication.  A hash of seed and id gives each record a uniform number; the
-inverse of a Poisson distribution at that number, cut at the source's cap, is how
-often it is taken.  The total is the greatest at which every source can give its share without
-being repeated beyond its cap, unless a smaller one is asked for.  Since the hash fixes each
-record's number, what a source gives is a monotone function of its Poisson mean; the mean is
-found by a few passes over a grid of means, each one aggregate of partial sums.  Long
-records make that function jump; so the numbers of a source may be rotated by one of a few
-offsets, and the offset and mean are taken that come nearest the target.  Copies are
-then shuffled globally by another hash.
+Method: Poisson replication.  The wanted total, unless one is asked for, is all there is of the
+sources with a target.  A source's target repetition rate is its share of the total over what it has.
+A hash of seed and id gives each record a uniform number; the inverse of a Poisson distribution at that
+number, cut at the source's cap, is how often it is taken.  The mean of the distribution is the one
+whose cut draws have the rate as their expectation, found from the distribution alone, so
+the records are read once.  Copies are then shuffled globally by another hash.
+
+A source that cannot give its share within its cap gives every record as often as the cap allows, the
+others what they were to give; the shortfall is reported.  What is given differs from what is
+expected by chance only, by about the root of the sum of the squared sizes.
 
 Defined cases: sources without records, and those without target, share or repeats, give nothing,
 and the other shares are scaled to sum to one; null sources have no target; records of
@@ -30,16 +31,12 @@ from weftline.llm import tokens
 from weftline.session import Store
 
 SEED = 17
-GRID = 33
-PASSES = 4
-#: Offsets by which a source's numbers may be rotated.
-OFFSETS = [k * 0.6180339887498949 % 1 for k in range(16)]
-#: Above this mean practically every record reaches its cap.
-MOST = 200.0
 
 
 def draws(u: np.ndarray, mean: float, cap: int) -> np.ndarray:
-    """min(inverse Poisson(mean) at u, cap)."""
+    """min(inverse Poisson(mean) at u, cap); an infinite mean gives the cap."""
+    if math.isinf(mean):
+        return np.full(len(u), cap, np.int64)
     n = np.zeros(len(u), np.int64)
     p = total = math.exp(-mean)
     for k in range(1, cap + 1):
@@ -49,22 +46,39 @@ def draws(u: np.ndarray, mean: float, cap: int) -> np.ndarray:
     return n
 
 
+def expected(mean: float, cap: int) -> float:
+    """The expectation of min(Poisson(mean), cap)."""
+    p = below = math.exp(-mean)
+    out = 1 - below
+    for k in range(1, cap):
+        p *= mean / k
+        below += p
+        out += 1 - below
+    return out
+
+
+def mean_for(rate: float, cap: int) -> float:
+    """The mean whose draws, cut at the cap, have the rate as their expectation; infinite from the cap on."""
+    if rate >= cap:
+        return math.inf
+    low, high = 0.0, 1.0
+    while expected(high, cap) < rate:
+        if high > 700:  # beyond, exp(-mean) is no normal number; the draws are the cap but for parts in a million
+            return math.inf
+        high *= 2
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if expected(mid, cap) < rate else (low, mid)
+    return (low + high) / 2
+
+
 def _uniform(ids: str = "doc_id"):
     """53 bits of a hash as a number in [0, 1)."""
     return F.expr(f"shiftrightunsigned(xxhash64({SEED}, {ids}), 11)").cast("double") / float(1 << 53)
 
 
-def _sums(batches: Iterator[pd.DataFrame], grids: dict[str, list[list[float]]], caps: dict[str, int]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for source, g in b.groupby("source"):
-            u, size = g["u"].to_numpy(), g["tokens"].to_numpy(np.int64)
-            rows += [(source, o, k, int((draws((u + OFFSETS[o]) % 1, m, caps[source]) * size).sum())) for o, grid in enumerate(grids[source]) for k, m in enumerate(grid)]
-        yield pd.DataFrame(rows, columns=["source", "o", "k", "given"])
-
-
 def plan(sized: DataFrame, targets: DataFrame, total: int | None = None) -> dict[str, tuple[float, int, float]]:
-    """source -> (Poisson mean, cap, offset).  Only per-source sums reach the driver; the target list is bounded."""
+    """source -> (Poisson mean, cap, wanted tokens).  Only per-source sums reach the driver; the target list is bounded."""
     want = {r.source: (r.target_share, r.max_repeats) for r in targets.limit(10_001).collect() if r.source is not None and r.target_share and r.target_share > 0 and r.max_repeats and r.max_repeats > 0}
     if len(want) > 10_000:
         raise ValueError("too many sources")
@@ -73,32 +87,18 @@ def plan(sized: DataFrame, targets: DataFrame, total: int | None = None) -> dict
     if not want:
         return {}
     share = sum(w[0] for w in want.values())
-    most = min(have[s] * cap / (w / share) for s, (w, cap) in want.items())
-    total = most if total is None else min(total, most)
+    total = sum(have[s] for s in want) if total is None else total
     goal = {s: total * w / share for s, (w, _) in want.items()}
-    ways = range(len(OFFSETS))
-    low, high = {(s, o): 0.0 for s in want for o in ways}, {(s, o): MOST for s in want for o in ways}
-    best = {s: (float("inf"), 0.0, 0) for s in want}
-    caps = {s: cap for s, (_, cap) in want.items()}
-    draw = sized.filter(F.col("source").isin(*want)).select("source", "tokens", _uniform().alias("u"))
-    for k in range(PASSES):
-        # the first grid is geometric, since means range over orders of magnitude
-        grids = {s: [list(np.geomspace(1e-6, MOST, GRID) if not k else np.linspace(low[s, o], high[s, o], GRID)) for o in ways] for s in want}
-        given = draw.mapInPandas(lambda it, g=grids: _sums(it, g, caps), "source string, o int, k int, given long")
-        for r in given.groupBy("source", "o", "k").agg(F.sum("given").alias("given")).collect():
-            m, at = float(grids[r.source][r.o][r.k]), (r.source, r.o)
-            best[r.source] = min(best[r.source], (abs(r.given - goal[r.source]), m, r.o))
-            if r.given <= goal[r.source]:
-                low[at] = max(low[at], m)
-            else:
-                high[at] = min(high[at], m)
-    return {s: (best[s][1], caps[s], OFFSETS[best[s][2]]) for s in want}
+    return {s: (mean_for(goal[s] / have[s], cap), cap, goal[s]) for s, (_, cap) in want.items()}
 
 
 def mix(sized: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
     """(doc_id, source, tokens, copy, order_key) of every copy taken, in shuffled order."""
     sized = sized.filter("tokens > 0")
-    means = plan(sized, targets, total)
+    return _taken(sized, plan(sized, targets, total))
+
+
+def _taken(sized: DataFrame, means: dict[str, tuple[float, int, float]]) -> DataFrame:
     schema = "doc_id long, source string, tokens int, copy int"
 
     def take(batches):
@@ -106,8 +106,8 @@ def mix(sized: DataFrame, targets: DataFrame, total: int | None = None) -> DataF
             parts = []
             for source, g in b.groupby("source"):
                 if source in means:
-                    mean, cap, offset = means[source]
-                    n = draws((g["u"].to_numpy() + offset) % 1, mean, cap)
+                    mean, cap, _ = means[source]
+                    n = draws(g["u"].to_numpy(), mean, cap)
                     r = g.loc[g.index.repeat(n), ["doc_id", "source", "tokens"]]
                     parts.append(r.assign(copy=r.groupby(level=0).cumcount() + 1))
             yield pd.concat(parts) if parts else pd.DataFrame(columns=["doc_id", "source", "tokens", "copy"])
@@ -121,17 +121,24 @@ def sized_documents(docs: DataFrame, store: Store, vocabulary: str) -> DataFrame
     return store.keep(tokens.token_counts(docs, ["doc_id", "source"], vocabulary=vocabulary))
 
 
-def mixed_documents(docs: DataFrame, targets: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    return mix(sized_documents(docs, Store(docs.sparkSession), vocabulary), targets)
+def mixed_documents(docs: DataFrame, targets: DataFrame, vocabulary: str = tokens.VOCABULARY, total: int | None = None) -> DataFrame:
+    return mix(sized_documents(docs, Store(docs.sparkSession), vocabulary), targets, total)
 
 
-def reached_shares(docs: DataFrame, targets: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """(source, target_share, max_repeats, available, taken_records, taken, reached_share, most_repeats)."""
+def reached_shares(docs: DataFrame, targets: DataFrame, vocabulary: str = tokens.VOCABULARY, total: int | None = None) -> DataFrame:
+    """(source, target_share, max_repeats, available, wanted, taken_records, taken, shortfall, reached_share, most_repeats).
+
+    wanted: tokens its share of the total comes to; shortfall: what its cap keeps it from giving.
+    """
     store = Store(docs.sparkSession)
-    sized = sized_documents(docs, store, vocabulary)
-    got = mix(sized, targets).groupBy("source").agg(F.count("*").alias("taken_records"), F.sum("tokens").alias("taken"), F.max("copy").alias("most_repeats"))
+    sized = sized_documents(docs, store, vocabulary).filter("tokens > 0")
+    means = plan(sized, targets, total)
+    got = _taken(sized, means).groupBy("source").agg(F.count("*").alias("taken_records"), F.sum("tokens").alias("taken"), F.max("copy").alias("most_repeats"))
     have = sized.groupBy("source").agg(F.sum("tokens").alias("available"))
-    out = have.join(targets.select("source", "target_share", "max_repeats"), "source", "full").join(got, "source", "left").fillna({"available": 0, "taken_records": 0, "taken": 0, "most_repeats": 0})
-    total = got.agg(F.sum("taken").alias("total"))
-    out = out.join(F.broadcast(total), how="inner")  # one row
-    return out.select("source", "target_share", "max_repeats", "available", "taken_records", "taken", F.round(F.coalesce(F.col("taken") / F.col("total"), F.lit(0.0)), 6).alias("reached_share"), "most_repeats")
+    asked = docs.sparkSession.createDataFrame([(s, round(goal)) for s, (_, _, goal) in means.items()], "source string, wanted long")
+    out = have.join(targets.select("source", "target_share", "max_repeats"), "source", "full").join(got, "source", "left").join(asked, "source", "left")
+    out = out.fillna({"available": 0, "taken_records": 0, "taken": 0, "most_repeats": 0, "wanted": 0})
+    whole = got.agg(F.sum("taken").alias("whole"))
+    out = out.join(F.broadcast(whole), how="inner")  # one row
+    short = F.greatest(F.lit(0).cast("long"), F.col("wanted") - F.coalesce(F.col("max_repeats") * F.col("available"), F.lit(0)))
+    return out.select("source", "target_share", "max_repeats", "available", "wanted", "taken_records", "taken", short.alias("shortfall"), F.round(F.coalesce(F.col("taken") / F.col("whole"), F.lit(0.0)), 6).alias("reached_share"), "most_repeats")

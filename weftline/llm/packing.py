@@ -3,9 +3,11 @@
 Method: bound-certified repacking.  Items are spread by hash over partitions of bounded size and
 packed there by best-fit decreasing.  Dual feasible functions give a lower bound of the
 containers each partition needs; where it equals the number used, the packing is certified
-optimal.  Partitions with a gap give up the containers that are not nearly full; these are
+optimal.  Partitions with a gap give up their containers that have room, certified ones only
+their emptiest (the bound is rounded up, which can leave one container's room); these are
 mixed with those of other partitions by hash, and repacked by best-fit decreasing; a pool
-keeps what it had unless it gains.  This repeats while containers are saved.
+keeps what it had unless it gains.  This repeats until nothing is given up, or no
+exchange saves a container.
 
 An item over the capacity fills containers of its own with full pieces; the rest is an item.
 
@@ -26,9 +28,10 @@ from weftline.session import Store
 
 #: Items that one task packs at a time.
 PART_ITEMS = 20_000
-#: A container with at most this share of room left stays as it is.
-NEARLY_FULL = 0.01
-ROUNDS = 3
+#: A container with at most this share of room left is not given up; 0: only full ones are not.
+NEARLY_FULL = 0.0
+#: Tasks of a packing stage; parts beyond share tasks, one after the other.
+MOST_TASKS = 20_000
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], int]:
@@ -87,7 +90,7 @@ def lower_bound(sizes, capacity: int, counts=None) -> int:
 _OUT = "pack_name string, capacity int, doc_id long, piece int, tokens int, pack_id string, gap int, open boolean"
 
 
-def _pack(pdf: pd.DataFrame, label: str) -> pd.DataFrame:
+def _pack(pdf: pd.DataFrame, label: str, nearly_full: float) -> pd.DataFrame:
     """Packs one partition; says which containers may be given up."""
     capacity, part = int(pdf["capacity"].iloc[0]), int(pdf["part"].iloc[0])
     pdf = pdf.sort_values(["doc_id", "piece"], kind="stable")
@@ -101,15 +104,21 @@ def _pack(pdf: pd.DataFrame, label: str) -> pd.DataFrame:
     fill = pd.Series(sizes).groupby(pd.Series(ids)).transform("sum").to_numpy()
     gap = used - max(bound, 1)
     out = pdf[["pack_name", "capacity", "doc_id", "piece", "tokens"]].reset_index(drop=True)
-    return out.assign(pack_id=ids, gap=gap, open=(gap > 0) & (fill < capacity * (1 - NEARLY_FULL)))
+    # rounding up leaves even a certified part room in one container: it gives up the emptiest
+    return out.assign(pack_id=ids, gap=gap, open=(fill < capacity * (1 - nearly_full)) & ((gap > 0) | (np.array(ids) == ids[int(fill.argmin())])))
 
 
-def _packer(label: str):
-    return lambda pdf: _pack(pdf, label)
+def _packed(items: DataFrame, parts: int, packs: int, label: str, nearly_full: float) -> DataFrame:
+    """Each part packed.  The number of tasks is given, since packing is slow for the bytes it reads."""
+    keys = ["pack_name", "capacity", "part"]
+    spread = items.repartition(max(1, min(parts * packs, MOST_TASKS)), *keys)
+    return spread.groupBy(*keys).applyInPandas(lambda pdf: _pack(pdf, label, nearly_full), _OUT)
 
 
-def pack(items: DataFrame, packs: list[tuple[str, int]], store: Store) -> DataFrame:
+def pack(items: DataFrame, packs: list[tuple[str, int]], store: Store, part_items: int = PART_ITEMS, nearly_full: float = NEARLY_FULL) -> DataFrame:
     """(pack_name, capacity, doc_id, piece, tokens, pack_id) from (doc_id, tokens), for each (name, capacity)."""
+    if not packs:
+        return items.sparkSession.createDataFrame([], "pack_name string, capacity int, doc_id long, piece int, tokens int, pack_id string")
     sizes = F.array(*[F.struct(F.lit(n).alias("pack_name"), F.lit(c).alias("capacity")) for n, c in packs])
     base = items.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("size"), F.explode(sizes).alias("p")).select("doc_id", "size", "p.*")
     whole = (F.col("size") / F.col("capacity")).cast("int")
@@ -119,27 +128,25 @@ def pack(items: DataFrame, packs: list[tuple[str, int]], store: Store) -> DataFr
     rest = base.select("pack_name", "capacity", "doc_id", F.when(over, whole).otherwise(0).alias("piece"), F.when(over, F.col("size") % F.col("capacity")).otherwise(F.col("size")).alias("tokens"))
     rest = store.keep(rest.filter("piece = 0 or tokens > 0"))
     # every capacity has about as many items
-    parts = max(1, -(-rest.count() // (PART_ITEMS * len(packs))))
+    parts = max(1, -(-rest.count() // (part_items * len(packs))))
     spread = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
-    now = store.keep(spread.groupBy("pack_name", "capacity", "part").applyInPandas(_packer("0"), _OUT))
-    settled = now.filter("not open").drop("gap", "open")
-    for k in range(1, ROUNDS):
+    now = store.keep(_packed(spread, parts, len(packs), "0", nearly_full))
+    store.drop(rest)
+    settled, k = None, 0
+    while True:
+        done = now.filter("not open").drop("gap", "open")
+        settled = done if settled is None else settled.unionByName(done)
         open_ = now.filter("open").drop("gap", "open")
         left, before = open_.agg(F.count("*"), F.count_distinct("pack_id")).first()
         if not left:
-            break
-        pools = max(1, -(-left // (PART_ITEMS * len(packs))))
+            return settled.unionByName(full)
+        k += 1
+        pools = max(1, -(-left // (part_items * len(packs))))
         mixed = open_.withColumn("part", F.pmod(F.xxhash64(F.lit(k), "pack_id"), F.lit(pools)).cast("int"))
-        now = store.keep(mixed.groupBy("pack_name", "capacity", "part").applyInPandas(_packer(str(k)), _OUT))
-        after = now.agg(F.count_distinct("pack_id")).first()[0]
-        if after >= before:
-            break
-        settled = settled.unionByName(now.filter("not open").drop("gap", "open"))
-    else:
-        return settled.unionByName(now.filter("open").drop("gap", "open")).unionByName(full)
-    if left:
-        settled = settled.unionByName(now.drop("gap", "open"))
-    return settled.unionByName(full)
+        new = store.keep(_packed(mixed, pools, len(packs), str(k), nearly_full))
+        if new.agg(F.count_distinct("pack_id")).first()[0] >= before:
+            return settled.unionByName(open_).unionByName(full)
+        now = new
 
 
 def capacities(packs: DataFrame) -> list[tuple[str, int]]:

@@ -2,27 +2,27 @@
 
 Method: radix selection.  A double becomes a 64-bit integer of the same order: its bits,
 with all but the sign flipped for negative numbers.  A histogram of the highest 16 bits per
-group tells which digit holds each target rank; only the values with that digit go on to the
-next 16 bits, and so on: four passes give the exact value.
+group, counted on the map side, tells which digit holds each target rank; only the values with
+that digit go on to the next 16 bits, and so on.  A digit that holds a single value
+gives it at once; four passes give every value exactly.
 
 A state is the histogram of the leading 24 bits per group (sign, exponent, 12 bits of the
-fraction).  States of files or days combine by adding counts.  A percentile read from a
-state is the lower edge of its bin: it errs by at most 2**-12 (0.0245 %) of the value,
-towards zero.
+fraction).  States of files or days combine by adding counts.  A percentile is read from a
+state by the same selection over its bins; it is the lower edge of its bin and errs
+by at most 2**-12 (0.0245 %) of the value, towards zero.
 
 Percentiles are nearest-rank: the ceil(q * n)-th smallest value (at least the first).
 Defined cases: values that are null, NaN or not plain numbers do not count; a group without
 a number has no row; null is a group of its own; -0.0 counts as 0.0; an empty input gives
 an empty result; other columns are ignored.
 
-A group with a third of all rows is no trouble: rows are first counted per (group, value)
-on the map side, and each pass shuffles histogram bins, not rows.
+A group with a third of all rows is no trouble: its rows become at most 2**16 bins on the
+map side, no row holds more than the bins of one digit, and values travel only where a pass follows them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -59,58 +59,72 @@ def plain_number(c: Column) -> Column:
     return F.when(t.rlike(r"^[0-9][0-9,]*(\.[0-9]+)?$"), F.regexp_replace(t, ",", "").cast("double"))
 
 
-def counted_keys(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """(group, key, n): how often each value occurs in each group."""
-    v = df.select(*group, F.col(value).cast("double").alias("__v")).filter("__v is not null and not isnan(__v)")
-    # equal values share one key, so Python sees each distinct value of a group once
-    c = v.groupBy(*group, "__v").agg(F.count("*").alias("n"))
-    return c.select(*group, ordered_key("__v").alias("key"), "n")
+def keys(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """(g, key, n): the order-preserving integer of each value, of weight one; no shuffle."""
+    v = df.select(F.struct(*group).alias("g"), F.col(value).cast("double").alias("__v")).filter("__v is not null and not isnan(__v)")
+    return v.select("g", ordered_key("__v").alias("key"), F.lit(1).cast("long").alias("n"))
 
 
-def _targets(totals: DataFrame, quantiles: Sequence[float]) -> DataFrame:
-    ranks = F.array(*[F.struct(F.lit(i).alias("q"), F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("total"))).cast("long").alias("rank")) for i, q in enumerate(quantiles)])
-    return totals.select("*", F.inline(ranks))
+def _walk(rank: Column) -> Column:
+    """The bin of `bins` that holds a rank, and how many stand below it."""
+    start = F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
+    return F.aggregate(
+        "bins",
+        start,
+        lambda s, b: F.when(s["d"].isNotNull(), s)
+        .when(s["below"] + b["n"] >= rank, F.struct(s["below"].alias("below"), b["d"].alias("d"), b["lo"].alias("lo"), b["hi"].alias("hi")))
+        .otherwise(F.struct((s["below"] + b["n"]).alias("below"), s["d"].alias("d"), s["lo"].alias("lo"), s["hi"].alias("hi"))),
+    )
 
 
-def _same(group: Sequence[str], a: str, b: str) -> Column:
-    return reduce(lambda x, y: x & y, [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group], F.lit(True))
+def _select(leaves: DataFrame, quantiles: Sequence[float], store: Store, bits: int = 64) -> DataFrame:
+    """(g, total, q, key): the key at each target rank of each group, of weighted keys (g, key, n)."""
+    found: list[DataFrame] = []
+    active, rest = None, leaves.withColumn("prefix", F.lit(0).cast("long"))
+    for shift in range(bits - DIGIT, -DIGIT, -DIGIT):
+        shift = max(shift, 0)
+        digit = F.expr(f"shiftright(key, {shift})")
+        bins = rest.groupBy("g", "prefix", digit.alias("d")).agg(F.sum("n").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        # at most 2**16 bins of a (group, prefix)
+        edges = bins.groupBy("g", "prefix").agg(F.sort_array(F.collect_list(F.struct("d", "n", "lo", "hi"))).alias("bins"), F.sum("n").alias("total"))
+        if active is None:
+            goal = [F.struct(F.lit(i).alias("q"), F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("total"))).cast("long").alias("rank")) for i, q in enumerate(quantiles)]
+            at = edges.withColumn("ranks", F.array(*goal))
+        else:
+            ranks = active.groupBy("g", "prefix", F.col("total").alias("of")).agg(F.collect_list(F.struct("q", "rank")).alias("ranks"))
+            at = edges.drop("total").join(ranks, ["g", "prefix"]).withColumnRenamed("of", "total")
+        hits = at.select("g", "total", F.explode(F.transform("ranks", lambda r: F.struct(r["q"].alias("q"), r["rank"].alias("rank"), _walk(r["rank"]).alias("w")))).alias("h"))
+        hits = store.keep(hits.select("g", "total", "h.q", (F.col("h.rank") - F.col("h.w.below")).alias("rank"), F.col("h.w.d").alias("prefix"), F.col("h.w.lo").alias("lo"), F.col("h.w.hi").alias("hi")))
+        found.append(hits.filter("lo = hi").select("g", "total", "q", F.col("lo").alias("key")))
+        active = hits.filter("lo <> hi").select("g", "total", "q", "rank", "prefix")
+        if not shift or active.isEmpty():
+            break
+        rest = leaves.withColumn("prefix", digit).join(active.select("g", "prefix").distinct(), ["g", "prefix"], "left_semi")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _wide(found: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """(group, n, q0, q1, ...) from (g, total, q, v)."""
+    cols = [F.max(F.when(F.col("q") == i, F.col("v"))).alias(f"q{i}") for i in range(len(quantiles))]
+    return found.groupBy("g").agg(F.max("total").alias("n"), *cols).select("g.*", "n", *(f"q{i}" for i in range(len(quantiles))))
 
 
 def radix_select(df: DataFrame, group: Sequence[str], value: str, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """(group, n, q0, q1, ...): exact percentiles of each group."""
     store = Store(df.sparkSession)
-    group = list(group)
     # groups may be null: a struct keeps null a key of its own in joins
-    leaves = store.keep(counted_keys(df, group, value).select(F.struct(*group).alias("g"), "key", "n"))
-    totals = leaves.groupBy("g").agg(F.sum("n").alias("total"))
-    active = _targets(totals, quantiles).select("g", "total", "q", "rank", F.lit(0).cast("long").alias("prefix"))
-    rest = leaves.withColumn("prefix", F.lit(0).cast("long"))
-    for shift in range(64 - DIGIT, -1, -DIGIT):
-        digit = F.expr(f"shiftright(key, {shift})")
-        bins = rest.groupBy("g", "prefix", digit.alias("d")).agg(F.sum("n").alias("n"))
-        # counts below each bin of a (group, prefix): at most 2**16 bins
-        edges = bins.groupBy("g", "prefix").agg(F.sort_array(F.collect_list(F.struct("d", "n"))).alias("bins"))
-        at = active.join(edges, ["g", "prefix"])
-        # walk up to the bin that holds the rank
-        walk = F.aggregate(
-            "bins",
-            F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("d")),
-            lambda s, b: F.when(s["d"].isNotNull(), s)
-            .when(s["below"] + b["n"] >= F.col("rank"), F.struct(s["below"].alias("below"), b["d"].alias("d")))
-            .otherwise(F.struct((s["below"] + b["n"]).alias("below"), s["d"].alias("d"))),
-        )
-        active = store.keep(at.withColumn("w", walk).select("g", "total", "q", (F.col("rank") - F.col("w.below")).alias("rank"), F.col("w.d").alias("prefix")))
-        if shift:
-            wanted = active.select("g", "prefix").distinct()
-            rest = leaves.withColumn("prefix", digit).join(wanted, ["g", "prefix"], "left_semi")
-    found = active.select("g", "total", "q", key_value("prefix").alias("v"))
-    cols = [F.max(F.when(F.col("q") == i, F.col("v"))).alias(f"q{i}") for i in range(len(quantiles))]
-    return found.groupBy("g").agg(F.max("total").alias("n"), *cols).select("g.*", "n", *(f"q{i}" for i in range(len(quantiles))))
+    leaves = store.keep(keys(df, list(group), value))
+    found = _select(leaves, quantiles, store)
+    return _wide(found.select("g", "total", "q", key_value("key").alias("v")), quantiles)
 
 
 def state(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """(group, bin, n): the combinable histogram of leading bits."""
-    return counted_keys(df, group, value).groupBy(*group, F.expr(f"shiftright(key, {64 - STATE_BITS})").alias("bin")).agg(F.sum("n").alias("n"))
+    """(group, bin, n): the combinable histogram of leading bits, counted on the map side."""
+    bins = keys(df, list(group), value).groupBy("g", F.expr(f"shiftright(key, {64 - STATE_BITS})").alias("bin")).agg(F.sum("n").alias("n"))
+    return bins.select("g.*", "bin", "n")
 
 
 def combine(states: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -120,22 +134,13 @@ def combine(states: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def from_state(states: DataFrame, group: Sequence[str], quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """(group, n, q0, q1, ...): percentiles from a state, each at most RELATIVE_ERROR of itself too near zero."""
-    group = list(group)
-    s = states.select(F.struct(*group).alias("g"), "bin", "n")
-    bins = s.groupBy("g").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct(F.col("bin").alias("d"), "n"))).alias("bins"))
-    t = _targets(bins, quantiles)
-    walk = F.aggregate(
-        "bins",
-        F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("long").alias("d")),
-        lambda a, b: F.when(a["d"].isNotNull(), a)
-        .when(a["below"] + b["n"] >= F.col("rank"), F.struct(a["below"].alias("below"), b["d"].alias("d")))
-        .otherwise(F.struct((a["below"] + b["n"]).alias("below"), a["d"].alias("d"))),
-    )
+    store = Store(states.sparkSession)
+    bins = store.keep(states.select(F.struct(*group).alias("g"), F.col("bin").alias("key"), "n"))
+    found = _select(bins, quantiles, store, STATE_BITS)
     # of a negative bin the edge nearer zero is the upper one
-    low = F.expr(f"shiftleft(d, {64 - STATE_BITS})")
-    v = t.select("g", "total", "q", walk["d"].alias("d")).select("g", "total", "q", key_value(F.when(F.col("d") < 0, low + F.lit((1 << (64 - STATE_BITS)) - 1)).otherwise(low)).alias("v"))
-    cols = [F.max(F.when(F.col("q") == i, F.col("v"))).alias(f"q{i}") for i in range(len(quantiles))]
-    return v.groupBy("g").agg(F.max("total").alias("n"), *cols).select("g.*", "n", *(f"q{i}" for i in range(len(quantiles))))
+    low = F.expr(f"shiftleft(key, {64 - STATE_BITS})")
+    edge = F.when(F.col("key") < 0, low + F.lit((1 << (64 - STATE_BITS)) - 1)).otherwise(low)
+    return _wide(found.select("g", "total", "q", key_value(edge).alias("v")), quantiles)
 
 
 def rate_percentiles(materials: DataFrame) -> DataFrame:

@@ -42,6 +42,11 @@ def p6_found(spark, d):
     return survivor.surviving_listings(t(spark, d, "iocl_materials"), t(spark, d, "extract_files"))
 
 
+def p6_layers(spark, d):
+    """How many listings took each field from which layer of dominance."""
+    return survivor.survivor_layers(t(spark, d, "iocl_materials"), t(spark, d, "extract_files"))
+
+
 def p8_packed(spark, d):
     """Every piece of every document in a container, for each capacity."""
     placed = packing.packed_documents(t(spark, d, "documents"), t(spark, d, "pack_sizes"))
@@ -81,6 +86,7 @@ QUERIES = {
     "p5_states": p5_states,
     "p5_combined": p5_combined,
     "p6_found": p6_found,
+    "p6_layers": p6_layers,
     "p8_packed": p8_packed,
     "p8_report": p8_report,
     "p9_mixture": p9_mixture,
