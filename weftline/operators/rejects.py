@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,9 +59,31 @@ def index_records(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     return broken, fields, at, owner[at]
 
 
-def _split(batches: Iterator[pa.RecordBatch], line: str, width: int) -> Iterator[pa.RecordBatch]:
+def field_array(buffer: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: np.ndarray, total: int) -> pa.Array:
+    """The slices buffer[lo:hi] as an array of strings at `rows` of `total`, null elsewhere; outer quotes off, doubled ones halved."""
+    quoted = (hi > lo) & (buffer[np.minimum(lo, max(len(buffer) - 1, 0))] == _QUOTE) if len(buffer) else np.zeros(len(lo), bool)
+    lo, hi = lo + quoted, hi - quoted
+    size = hi - lo
+    length = np.zeros(total, np.int64)
+    length[rows] = size
+    offsets = np.zeros(total + 1, np.int64)
+    np.cumsum(length, out=offsets[1:])
+    # byte j of the result is byte j - (start in the result) + lo of the buffer
+    data = buffer[np.repeat(lo - offsets[rows], size) + np.arange(offsets[-1])]
+    valid = np.zeros(total, bool)
+    valid[rows] = True
+    bits = pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+    out = pa.Array.from_buffers(pa.large_string(), total, [bits, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+    # a sound field holds quotes only if it is quoted, and then doubled
+    if quoted.any() and (data == _QUOTE).any():
+        out = pc.replace_substring(out, '""', '"')
+    return out.cast(pa.string())
+
+
+def _split(batches: Iterator[pa.RecordBatch], line: str, width: int, wanted: list[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(line))
+        at_line = batch.schema.get_field_index(line)
+        texts = batch.column(at_line)
         texts = texts.cast(pa.string()).fill_null("")
         if len(texts) == 0:
             continue
@@ -77,36 +100,33 @@ def _split(batches: Iterator[pa.RecordBatch], line: str, width: int) -> Iterator
         rows = np.flatnonzero(good)
         lo = np.concatenate([starts[rows, None], cut + 1], axis=1)
         hi = np.concatenate([cut, ends[rows, None]], axis=1)
-        raw = buffer.tobytes()
-        out = []
-        for k in range(width):
-            values: list[str | None] = [None] * len(texts)
-            for r, a, b in zip(rows.tolist(), lo[:, k].tolist(), hi[:, k].tolist()):
-                v = raw[a:b].decode("utf-8", "replace")
-                if v[:1] == '"':
-                    v = v[1:-1].replace('""', '"')
-                values[r] = v
-            out.append(pa.array(values, pa.string()))
+        out = [field_array(buffer, lo[:, k], hi[:, k], rows, len(texts)) for k in wanted]
         why = np.where(broken, "broken_quoting", np.where(fields != width, "column_count", ""))
         reason = pa.array(why.astype(object), pa.string(), mask=why == "")
-        yield pa.RecordBatch.from_arrays([*batch.columns, reason, *out], names=[*batch.schema.names, "__reason", *(f"__f{k}" for k in range(width))])
+        kept = [(n, c) for k, (n, c) in enumerate(zip(batch.schema.names, batch.columns)) if k != at_line]
+        yield pa.RecordBatch.from_arrays([*(c for _, c in kept), reason, *out], names=[*(n for n, _ in kept), "__reason", *(f"__f{k}" for k in wanted)])
 
 
-def split_records(df: DataFrame, line: str = "raw_line", columns: tuple[str, ...] = COLUMNS, keep: tuple[str, ...] = ("line_id",)) -> DataFrame:
-    """`keep`, `reason` (null: structurally sound) and the fields as strings."""
+def split_records(df: DataFrame, line: str = "raw_line", columns: tuple[str, ...] = COLUMNS, keep: tuple[str, ...] = ("line_id",), wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """`keep`, `reason` (null: structurally sound) and the wanted fields (all, unless named) as strings."""
+    wanted = columns if wanted is None else wanted
+    which = [columns.index(c) for c in wanted]
     src = df.select(*keep, F.col(line).cast("string").alias("__line"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema), "__reason string", *(f"__f{k} string" for k in range(len(columns)))])
-    got = src.mapInArrow(lambda it: _split(it, "__line", len(columns)), schema)
-    return got.select(*keep, F.col("__reason").alias("reason"), *(F.col(f"__f{k}").alias(c) for k, c in enumerate(columns)))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__line"), "__reason string", *(f"__f{k} string" for k in which)])
+    got = src.mapInArrow(lambda it: _split(it, "__line", len(columns), which), schema)
+    return got.select(*keep, F.col("__reason").alias("reason"), *(F.col(f"__f{k}").alias(c) for k, c in zip(which, wanted)))
 
 
 def spaces(c: Column) -> Column:
     return F.trim(c)
 
 
-def check_materials(df: DataFrame, keep: tuple[str, ...] = ("line_id",)) -> DataFrame:
+CHECKED = ("material_code", "description", "last_rate_inr")
+
+
+def check_materials(df: DataFrame, keep: tuple[str, ...] = ("line_id",), wanted: tuple[str, ...] = COLUMNS) -> DataFrame:
     """The catalogue's type checks after the structural ones, in their fixed order; reason is null for valid rows."""
-    s = split_records(df, keep=keep)
+    s = split_records(df, keep=keep, wanted=wanted)
     code, rate = spaces(F.col("material_code")), spaces(F.col("last_rate_inr"))
     reason = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
@@ -125,4 +145,4 @@ def valid_rows(df: DataFrame, keep: tuple[str, ...] = ("line_id",)) -> DataFrame
 
 
 def rejected_rows(df: DataFrame, keep: tuple[str, ...] = ("line_id",)) -> DataFrame:
-    return check_materials(df, keep).filter(F.col("reason").isNotNull()).select(*keep, "reason")
+    return check_materials(df, keep, CHECKED).filter(F.col("reason").isNotNull()).select(*keep, "reason")
