@@ -1,8 +1,8 @@
-"""Reads a material description into a profile: kind of item, type number,
-technical attributes and the amount one stock unit holds.
+"""Reads a material description into features: words, technical attributes, type numbers, amounts.
 
-The vocabulary below is data: house styles differ per organisation, so the same
-attribute is met under many spellings.  `Parser` splits a description at its
+The grammar below is that of technical notation (threads, bores, ratings, materials, quantities with
+their units) in its many spellings; no item, make or selling word is known to it, which ones there
+are is learnt from the data (`functions.lexicon`).  `Parser` splits a description at its
 separators and remembers each distinct piece, since pieces repeat across millions of
 rows while whole descriptions do not.
 """
@@ -12,101 +12,11 @@ from __future__ import annotations
 import re
 from fractions import Fraction
 
-# --- fixed values: kinds of item, looked for in this order ------------------
-# (kind, all of these word groups must be present)
-KINDS = [
-    ("grease", [{"grease"}]),
-    ("contactor", [{"contactor"}]),
-    ("hydraulic oil", [{"hydraulic", "hyd"}, {"oil", "fluid"}]),
-    ("gear oil", [{"gear"}, {"oil", "lubricant", "lube"}]),
-    ("gate valve", [{"gate"}, {"valve", "vlv"}]),
-    ("globe valve", [{"globe"}, {"valve", "vlv"}]),
-    ("ball valve", [{"ball"}, {"valve", "vlv"}]),
-    ("thermowell", [{"thermowell", "thermo"}]),
-    ("sealant", [{"sealant", "sealing"}]),
-    ("gasket", [{"gasket"}]),
-    ("epoxy primer", [{"primer", "prim", "epoxy"}]),
-    ("electrode", [{"electrode"}]),
-    ("powder", [{"powder", "descaler", "descaling"}]),
-    ("bearing", [{"bearing", "brg", "antifriction"}]),
-    ("filter element", [{"filter", "element", "cartridge"}]),
-    ("pressure gauge", [{"gauge", "bourdon"}]),
-    ("centrifugal pump", [{"pump"}]),
-    ("cable", [{"cable"}]),
-    ("rubber hose", [{"hose"}]),
-    ("wire rope", [{"rope"}]),
-    ("motor", [{"motor"}]),
-    ("elbow", [{"elbow"}]),
-    ("seamless pipe", [{"pipe", "seamless", "smls"}]),
-    ("stud bolt", [{"stud"}]),
-    ("socket head screw", [{"shcs", "schs", "shsc", "hscs", "allen", "screw", "socket"}]),
-    ("hex nut", [{"nut"}]),
-    ("hex bolt", [{"bolt"}]),
-    ("flange", [{"flange"}]),
-    ("pressure gauge", [{"pressure"}]),
-]
-FULL = {
-    "hex bolt": ("thread", "grade", "finish"),
-    "stud bolt": ("thread", "material", "finish"),
-    "socket head screw": ("thread", "grade", "finish"),
-    "hex nut": ("thread", "grade", "finish"),
-    "elbow": ("bore", "schedule", "angle", "material"),
-    "seamless pipe": ("bore", "schedule", "material"),
-    "gate valve": ("bore", "rating", "ends", "material"),
-    "globe valve": ("bore", "rating", "ends", "material"),
-    "ball valve": ("bore", "rating", "ends", "material"),
-    "flange": ("bore", "rating", "face", "material"),
-    "gasket": ("bore", "rating", "filling"),
-    "bearing": ("designation", "seal", "clearance"),
-    "gear oil": ("viscosity",),
-    "hydraulic oil": ("viscosity",),
-    "grease": ("base", "nlgi"),
-    "contactor": ("current", "poles", "voltage"),
-    "motor": ("power", "poles", "voltage", "mounting"),
-    "centrifugal pump": ("flow", "head", "power", "material"),
-    "pressure gauge": ("dial", "range", "material"),
-    "thermowell": ("length", "ends", "material"),
-    "cable": ("cores", "insulation", "voltage"),
-    "rubber hose": ("bore", "pressure"),
-    "wire rope": ("diameter", "strands", "finish"),
-    "sealant": ("colour",),
-    "epoxy primer": ("colour",),
-    "electrode": ("diameter", "material"),
-    "powder": ("purity",),
-    "filter element": ("micron", "length", "filling"),
-}
-#: Kinds sold by content, and in what.
-CONTENT = {
-    "cable": "length", "rubber hose": "length", "wire rope": "length",
-    "sealant": "volume", "epoxy primer": "volume", "gear oil": "volume", "hydraulic oil": "volume",
-    "grease": "mass", "electrode": "mass", "powder": "mass",
-}
+# --- fixed values: conversions ---
 #: Nominal bore in inches and its DN; rated power in HP and its kW.
 BORES = {"0.5": 15, "0.75": 20, "1": 25, "1.25": 32, "1.5": 40, "2": 50, "2.5": 65, "3": 80, "4": 100, "5": 125, "6": 150, "8": 200, "10": 250, "12": 300, "14": 350, "16": 400, "18": 450, "20": 500, "24": 600}
 _DN = frozenset(BORES.values())
 POWERS = {"0.5": "0.37", "1": "0.75", "1.5": "1.1", "2": "1.5", "3": "2.2", "5": "3.7", "7.5": "5.5", "10": "7.5", "15": "11", "20": "15", "25": "18.5", "30": "22", "40": "30", "50": "37", "60": "45", "75": "55", "100": "75", "120": "90", "125": "90", "150": "110"}
-#: Words of attribute phrases; a longer unknown word one slip away from one of these is read as it.
-WORDS = """
-hex hexagon hexagonal bolt stud fully threaded nut socket head screw allen cap thread elbow bend fitting pipe seamless
-gate sluice globe ball valve pattern flange weld neck gasket ring flat joint bearing rolling antifriction
-gear hydraulic industrial oil fluid lubricating lubricant lube grease contactor magnetic break motor induction
-squirrel cage electric pump centrifugal horizontal pressure gauge bourdon thermowell thermo well barstock cable power
-armoured hose rubber flexible rope wire steel sealant sealing compound primer epoxy paint electrode welding filler rod
-powder descaling descaler scale remover filter element cartridge size grade finish plain self colour black blackened
-oxide zinc plated galvanised galv teflon coated ptfe coat carbon carb stainless cast iron grey forged frgd bronze metal
-body duplex flanged screwed butt wafer socket ends rating class face raised type schedule degree return
-open unsealed sealed both sides shielded clearance normal viscosity lithium calcium calc polyurea urea base soap thickener content
-nlgi poles pole voltage volts insulation insul insulated poly vinyl cross linked ethylene foot mounted vertical
-dial range length long working core cores constr shade white green golden yellow signal blue brown purity assay pure
-micron nitrile graphite graph filled filler compressed asbestos fibre pack drum pail roll coil bottle tube
-model make grams kilograms kilogram litres litre liter ltrs gallons gallon quarts ounces pounds metres meter mtrs yards
-feet millilitres kilometre quintal tonne metric kilolitre rated
-premium quality stock factory fresh tested high performance ready super value export original latest revision heavy
-duty lith flgd frgd scrd patt prim constr centrif sqmm desig fibre mtrs ltrs ctd
-limited offer with test certificate low maintenance approved vendor best life genuine trusted brand indent code top
-""".split()
-_SHORT = {"best", "life", "with", "test", "code", "long", "core", "coat", "both", "base", "soap", "body", "foot", "feet", "make", "duty", "high", "pure", "well", "self", "cast", "iron", "grey", "flat", "face"}
-
 # --- the unit spellings met in amounts; what each means is learnt or known (see operators.units) ---
 UNIT = (
     r"millilitres?|milliliters?|kilolitres?|kilograms?|kilogramme?s?|kilometres?|kilometers?|centimetres?|centimeters?|millimetres?|millimeters?|"
@@ -120,12 +30,13 @@ _PER = r"(?:per )?(?:coil|drum|roll|pail|can|bag|tube|bottle|reel|box)s?"
 _PATTERNS = [
     ("stainless", r"(?P<y4>(?:ss|aisi|stainless steel) ?-?304)(?!\d)|(?P<y6>(?:ss|aisi|stainless steel) ?-?316)(?!\d)"),
     ("drop", r"(?:ref po|ref p o|po|indent|old code|old mat code|ref|your ref)(?: no)?[ :#-]*[a-z]{0,3}[ -]?\d[\do]{3,}"),
+    ("make", r"(?:make|mfr|brand)[ :]+[^\W\d_]{3,}"),
     ("std", r"(?:asme|astm|api|aws|din|iso|iec|en)(?: ptc)?[ -]?[a-z]?[ -]?\d+(?:\.\d+)?[a-z]?|is[ -]\d{3,4}(?!\d)|bs[ -]\d{3,4}(?!\d)|iso[ -]?\d{4,5}"),
     ("amount", rf"(?:(?P<hold>{_HOLD})[ :]*)?(?P<times>\d+) ?(?:nos|no|pcs|ea)? ?x ?(?P<n1>{_N})[ -]?(?P<u1>{UNIT})(?![a-z0-9/³²])(?: {_PER})?"),
     ("thread", r"(?:dia )?m ?(?P<td>\d{1,2})(?: ?x ?| length )(?P<tl>\d+(?:\.\d+)?) ?(?P<tu>mm|cm|m)?(?![a-z0-9.])"),
     ("cores", r"(?P<co1>\d{1,2}) ?(?:c|cores?)[ -]?x?[ -]?(?P<sq1>\d+(?:\.\d+)?)(?: ?(?:sq ?mm|mm2|mm²))?(?![0-9.])|(?P<sq2>\d+(?:\.\d+)?) ?(?:sq ?mm|mm2|mm²)[ -]?x?[ -]?(?P<co2>\d+) ?(?:cores?|c)(?![a-z])"),
     ("flow", r"(?P<fn>\d+(?:\.\d+)?) ?(?P<fu>lit/min|l/min|lpm|m³/hr?|m3/hr?|cum/hr?|cum/hour)"),
-    ("head", r"(?:h=|head:? )(?P<hn1>\d+(?:\.\d+)?) ?(?P<hu1>mm|cm|m)(?![a-z])|(?P<hn2>\d+(?:\.\d+)?) ?(?P<hu2>mm|cm|m) head"),
+    ("head", r"(?:h=|head:? )(?P<hn1>\d+(?:\.\d+)?) ?(?P<hu1>mm|cm|m)(?![a-z0-9])|(?P<hn2>\d+(?:\.\d+)?) ?(?P<hu2>mm|cm|m) head"),
     ("range", r"(?:range )?0 ?(?:-|to) ?(?P<rn>\d+(?:\.\d+)?) ?(?P<ru>bar|mpa|kpa)"),
     ("press", r"(?:wp )?(?P<pn>\d+(?:\.\d+)?) ?(?P<pu>bar|mpa|kpa)(?: (?:wp|working))?"),
     ("length", r"(?:l=|length:? )(?P<ln1>\d+(?:\.\d+)?) ?(?P<lu1>mm|cm|m)(?![a-z])|(?P<ln2>\d+(?:\.\d+)?) ?(?P<lu2>mm|cm|m) (?:lg|long)(?![a-z])"),
@@ -226,7 +137,13 @@ def _at(c: str) -> re.Pattern | None:
     return _AT[c]
 _DOTTED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]\.)+(?:[^\W\d_](?![^\W_]))?\.?")
 _DOT = re.compile(r"(?<=[^\W\d_])\.(?!\d)|(?<=[^\W\d_])\.(?=\d)")
+#: A word is read as another if that stands in as many times more records.
+OFTENER = 20
+CLEARLY = 5
+#: A word after "make" is one if it stands in fewer records; more frequent ones are judged by the lexicon.
+SELDOM = 20
 _WORD = re.compile(r"[^\W\d_]{3,}")
+_LABEL = re.compile(r"([^\W\d_]{2,}) ?:")
 _SPACE = re.compile(r"\s+")
 _MM = {"mm": 1, "cm": 10, "m": 1000}
 
@@ -246,10 +163,6 @@ def within_one(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if m > n else a[i:] == b[i + 1 :]
 
 
-def _single(w: str) -> str:
-    return "".join(c for i, c in enumerate(w) if not i or c != w[i - 1])
-
-
 def _num(x: str) -> str:
     """A number without thousands separators, trailing zeros or needless point."""
     x = x.replace(",", "")
@@ -279,9 +192,6 @@ def pieces(description: str) -> list[str]:
     return [description]
 
 
-_NAMING = frozenset().union(*(x for _, need in KINDS for x in need)) | {"ca"}
-
-
 _LENGTHS = re.compile(r"(?:centi|kilo|milli)?met(?:re|er)s?$|[ck]?m(?:trs?)?s?$|mm$|mtrs?$|yards?$|yds?$|feet$|foot$|fts?$")
 _VOLUMES = re.compile(r"(?:milli|kilo)?lit(?:re|er)s?$|.*(?:gal|gals|gallons?|quarts?|qts?)$|mls?$|cc$|kl$|l$|lt$|ltrs?$|lits?$|cu|m[3³]$")
 
@@ -291,71 +201,87 @@ def dimension(unit: str) -> str:
     return "length" if _LENGTHS.match(unit) else "volume" if _VOLUMES.match(unit) else "mass"
 
 
-class Parser:
-    """Turns descriptions into profiles, remembering pieces; one per Python worker."""
+class Speller:
+    """Reads a word as the far more frequent one that it is a slip away from; one per Python worker.
 
-    def __init__(self, remember: int = 300_000):
-        self.pieces: dict[str, tuple] = {}
-        self.kinds: dict[frozenset, str | None] = {}
-        self.words: dict[str, str] = {w: w for w in WORDS}
-        self.by_size: dict[int, list[str]] = {}
-        for w in WORDS:
-            if len(w) >= 4 and w not in _CUT_WORDS:
-                self.by_size.setdefault(len(w), []).append(w)
-        self.remember = remember
+    counts: the records that hold each frequent word.
+    """
+
+    def __init__(self, counts: dict[str, int]):
+        self.counts = counts
+        self.read: dict[str, str] = {}
+        self.near: dict[str, list[str]] = {}
+        for w in counts:
+            if len(w) >= 4:
+                for r in self._rests(w):
+                    self.near.setdefault(r, []).append(w)
+
+    @staticmethod
+    def _rests(w: str) -> set[str]:
+        return {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
 
     def word(self, w: str) -> str:
-        got = self.words.get(w)
+        got = self.read.get(w)
         if got is None:
-            got = w
-            if len(w) == 3:
-                near = [x for x in _FOUR if within_one(w, x)] if w not in _THREE else []
-                self.words[w] = got = near[0] if near else w
-                return got
-            near = [x for n in (len(w), len(w) + 1, len(w) - 1) for x in self.by_size.get(n, ()) if within_one(w, x)]
-            if near and w not in _KEEP:
-                near.sort(key=lambda x: (not (len(x) < len(w) and _single(x) == _single(w)), sorted(x) != sorted(w), len(x) == len(w), x[0] != w[0], x in _SHORT))
-                got = near[0]
-            if len(self.words) > 200_000:
-                self.words.clear()
-                self.words.update((w, w) for w in WORDS)
-            self.words[w] = got
+            if len(self.read) > 200_000:
+                self.read.clear()
+            got = self.read[w] = self._look(w) if len(w) < 30 else w
         return got
 
+    def _look(self, w: str) -> str:
+        if len(w) < 3:
+            return w
+        own = self.counts.get(w, 0)
+        met = {v for r in self._rests(w) for v in self.near.get(r, ()) if v != w and within_one(w, v)}
+        if len(w) == 3:  # only a longer word that lost a letter, if there is one that far outweighs the others
+            longer = sorted((v for v in self.near.get(w, ()) if len(v) == 4), key=lambda v: -self.counts[v])
+            if not longer or self.counts[longer[0]] < OFTENER * max(own, 1) or len(longer) > 1 and self.counts[longer[0]] < CLEARLY * self.counts[longer[1]]:
+                return w
+            return longer[0]
+        met = [v for v in met if self.counts[v] >= OFTENER * max(own, 1)]
+        # neighbours swapped or a letter doubled before other slips
+        return min(met, key=lambda v: (sorted(v) != sorted(w) and set(v) != set(w), -self.counts[v], v), default=w)
+
+
+class Parser:
+    """Turns descriptions into features, remembering pieces; one per Python worker."""
+
+    def __init__(self, counts: dict[str, int] | None = None, remember: int = 300_000):
+        self.pieces: dict[str, tuple] = {}
+        self.speller = Speller(counts or {})
+        self.remember = remember
+
     def piece(self, text: str) -> tuple:
-        """(words that name kinds, attributes, type numbers, amounts) of one piece."""
+        """(words, attributes, type numbers, amounts, other numbers) of one piece."""
         got = self.pieces.get(text)
         if got is None:
             if len(self.pieces) > self.remember:
                 self.pieces.clear()
-            words, attributes, types, amounts = [], [], [], []
+            words, attributes, types, amounts, numbers = [], [], [], [], []
             for k, v in self.scan(text):
                 if k == "w":
-                    if v in _NAMING:
-                        words.append(v)
+                    words.append(v)
                 elif k == "amount":
                     amounts.append(v)
                 elif k == "type":
                     types.append(v)
+                elif k == "number":
+                    numbers.append(v)
                 else:
                     attributes.append((k, v))
-            got = self.pieces[text] = (frozenset(words), tuple(attributes), tuple(types), tuple(amounts))
-        return got
-
-    def kind(self, words: frozenset) -> str | None:
-        got = self.kinds.get(words, 0)
-        if got == 0:
-            got = self.kinds[words] = next((k for k, need in KINDS if all(words & x for x in need)), None)
+            got = self.pieces[text] = (tuple(words), tuple(attributes), tuple(types), tuple(amounts), tuple(numbers))
         return got
 
     def scan(self, text: str) -> tuple:
         """The features of one piece: (name, value) in order."""
-        s = text.lower().replace("″", '"').replace("best in class", " ")
+        s = text.lower().replace("″", '"')
         if "." in s:
             s = _DOTTED.sub(lambda m: m[0].replace(".", "") + " ", s)
             s = _DOT.sub(" ", s)
         s = s.replace("–", " ").replace(",  ", " ").replace(":", ": ").replace(" . ", " ")
-        s = _WORD.sub(lambda m: self.word(m[0]), s)
+        s = _WORD.sub(lambda m: self.speller.word(m[0]), s)
+        # a word before a colon names an attribute, not an item
+        named = set(_LABEL.findall(s)) if ":" in s else ()
         s = _SPACE.sub(" ", s).strip().replace(": ", " ")
         out = []
         at, end = 0, len(s)
@@ -366,7 +292,8 @@ class Parser:
             if m is None or m.end() == at:
                 at += 1
                 continue
-            self.take(m.lastgroup[2:], m, out)  # lastgroup is the outer group, which closes last
+            if not (named and m.lastgroup == "k_word" and m[0] in named):
+                self.take(m.lastgroup[2:], m, out)  # lastgroup is the outer group, which closes last
             at = m.end()
             while at < end and s[at].isalnum() and s[at - 1].isalnum() and s[at].isdigit() == s[at - 1].isdigit():
                 at += 1
@@ -376,8 +303,14 @@ class Parser:
         g = m.group
         if k == "word":
             out.append(("w", m[0]))
-        elif k == "drop" or k == "std" or k == "num":
+        elif k == "make":
+            w = m[0].split()[-1].strip(":")
+            if self.speller.counts.get(w, 0) >= SELDOM:
+                out.append(("w", w))
+        elif k == "drop" or k == "std":
             return
+        elif k == "num":
+            out.append(("number", m[0].rstrip(".,/-")))
         elif k == "stainless":
             out.append(("material", "x4" if g("y4") else "x6"))
         elif k == "amount":
@@ -454,67 +387,27 @@ class Parser:
         elif k == "colour":
             out.append(("colour", g("cw").replace("gray", "grey")))
         else:  # face, finish, material, filling, ends, insulation, base: the inner group's name is the value
-            inner = next(n for n in _INNER[k] if g(n))
-            out.append((k, inner))
-            if inner in _ALSO:
-                out.append(("w", _ALSO[inner]))
-
-    def profile(self, description: str | None) -> tuple:
-        """(kind, type number, {attribute: value}, (times, number, unit) or None)."""
-        if not description:
-            return None, None, {}, None
+            out.append((k, next(n for n in _INNER[k] if g(n))))
+
+    def features(self, description: str | None) -> tuple:
+        """(words, {attribute: value}, type numbers, amounts, other numbers) of a description; of an attribute named twice, the first."""
         found: dict[str, str] = {}
-        words: frozenset = frozenset()
-        amount = None
+        words: set[str] = set()
         types: list[str] = []
-        loose: list[tuple] = []
-        for part in pieces(description):
-            w, attributes, t, amounts = self.piece(part)
-            if w:
-                words |= w
+        amounts: list[tuple] = []
+        numbers: list[str] = []
+        for part in pieces(description or ""):
+            w, attributes, t, a, n = self.piece(part)
+            words.update(w)
             for k, v in attributes:
                 if k not in found:
                     found[k] = v
-            if t:
-                types += t
-            if amounts:
-                loose += amounts
-        kind = self.kind(words)
-        want = FULL.get(kind, ())
-        if kind == "flange" and "mounting" in found and not {"bore", "rating"} & found.keys():
-            kind = None
-        if "designation" in want and "designation" not in found:
-            for i, t in enumerate(types):
-                if len(types) > 1 and re.match(r"222\d\d", t):
-                    found["designation"] = types.pop(i)
-                    break
-        if "thread" in want and "thread" not in found and "thread1" in found:
-            found["thread"] = found["thread1"]
-        if "pressure" in want and "press" in found:
-            found["pressure"] = found["press"]
-        if "filling" in want and "filling" not in found and found.get("finish") == "ft":
-            found["filling"] = "gp"
-        if "base" in want and "base" not in found and "ca" in words:
-            found["base"] = "bc"
-        content = CONTENT.get(kind)
-        if content:
-            loose = sorted((x for x in loose if not x[2] or dimension(x[2]) == content), key=lambda x: -x[3])
-            amount = loose[0][:3] if loose else None
-        else:
-            # a bare measure is an attribute here
-            for t, n, u, _ in loose:
-                if u in _MM and "diameter" in want and "diameter" not in found:
-                    found["diameter"] = _scaled(n, _MM[u])
-                elif u in _MM and "length" in want and "length" not in found:
-                    found["length"] = _scaled(n, _MM[u])
-        if kind == "electrode" and "diameter" not in found:
-            for a in list(loose):
-                if a[2] in ("mm", "cm"):
-                    found["diameter"] = _scaled(a[1], _MM[a[2]])
-                    loose.remove(a)
-                    amount = loose[0][:3] if loose else None
-                    break
-        return kind, types[0] if types else None, {a: found[a] for a in want if a in found}, amount
+            types += t
+            amounts += a
+            numbers += n
+        if "thread1" in found:
+            found.setdefault("thread", found.pop("thread1"))
+        return words, found, types, amounts, numbers
 
 
 _INNER = {
@@ -522,16 +415,6 @@ _INNER = {
     for name, pat in _PATTERNS
     if name in ("face", "finish", "material", "filling", "ends", "insulation", "base")
 }
-#: Phrases that also name a kind.
-_ALSO = {"es": "weld"}
-#: Abbreviations stand for themselves; nothing is taken for a misspelling of one.
-_CUT_WORDS = {"lith", "flgd", "frgd", "scrd", "patt", "prim", "mtrs", "ltrs", "galv", "carb"}
-#: Short nouns that a lost letter may have cut to three, and three-letter words that stand for themselves.
-_FOUR = ("stud", "bolt", "hose", "rope", "gate", "ball", "ring", "pump", "gear", "pipe", "wire", "head", "weld", "neck", "ptfe", "cast", "iron", "butt")
-_THREE = set("hex nut cap joint oil hyd rod foot ends bar mpa kpa lpm min amp rpm kva gms kgs kgm ltr lit qty net can bag box btl mtr cms kms yds lbs lbm ozs qts gal gals mic pct nlg dia drg nos pcs set ref old new top per and for the sch deg asme iso din iec aws api ptc mma pvc epr nbr hdg blk pln zinc scr skt flg wfr rtj nps std. ansi moc len low red sky pre tub ton fee fts mts nb raw air pad pat".split())
-_KEEP = {"iron", "ends", "body", "type", "poly", "fully", "mounted", "volts", "amps", "dial", "bars", "size", "gate", "hose", "rope", "bolt", "pump", "ball", "ring", "pipe", "wire"}
-
-
 _UOM = re.compile(r"^[^\w]*(?:(?:in|per)\s+)?(?:(\d[\d,]*(?:\.\d+)?)[\s-]*)?([^\W\d_][^\d]*?)?[\s-]*(\d[\d,]*(?:\.\d+)?)?[^\w]*$")
 
 

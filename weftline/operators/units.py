@@ -1,19 +1,24 @@
 """Quantities recorded in different units: what one stock unit holds, in g, ml or mm.
 
-Method: linkage and a source graph.  A source is a unit spelling (as met in descriptions and
-units of issue).  Records of the same entity (kind, type number and technical attributes,
-amount aside) link the sources: where one source says 12 and another, whose scale is
-known, says 144 g, the ratio is a vote.  Per source the ratios are snapped to known
-conversions, and the robust centre of the votes (their mode, with the median offset left
-by it at zero) is its scale.  Sources resolved in one round serve the next, so scales
-spread through the graph from the anchors: the codes, names and aliases of the unit list.
-A source without links takes the conversion its name is known for, or that of
+Method: linkage and a source graph.  A source is an organisation's use of a unit spelling (as met in
+descriptions and units of issue).  Records of the same entity (kind, type number and technical
+attributes, amount aside) link the sources: where one source says 12 and another, whose scale is
+known, says 144 g, the two are a point.  Through a source's points a line is laid, robustly: its
+slope is where the slopes between pairs of points gather, its offset where that gathers which the line
+leaves (as Theil and Sen, but by modes, since entities come in several amounts, and on disjoint pairs, so the
+work is in proportion to the points).  Points of a single quantity have only ratios, and no
+offset.  The slope is snapped to a known conversion; a source with an
+offset measures something else (a gross weight, say) and gets no scale.  Sources resolved in
+one round serve the next, so scales spread through the graph, until a round finds none, from the anchors: the codes,
+names and aliases of the unit list.  All organisations' use of a spelling taken together is a source as well,
+which serves those with too few points of their own.
+A spelling without links takes the conversion its name is known for, or that of
 the anchor it is a misspelling of; else its amounts are left out.
 
 Defined cases: a record without amount, or whose unit measures no mass, volume or length, has
 no row; null and blank texts state nothing; an amount without a unit takes the unit
 of issue; with no amount in the description, one written into the unit of issue counts;
-several packs count in total; zero amounts are left out.
+several packs count in total; zero amounts are left out; a null organisation is a source of its own.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions import catalogue
+from weftline.functions.lexicon import ANY, Lexicon
+from weftline.operators import profiles
 from weftline.session import Store
 
 # --- fixed values: conversions to g, ml and mm ---
@@ -46,51 +52,16 @@ KNOWN = {
     "mm": ("length", "1"), "millimetre": ("length", "1"), "millimeter": ("length", "1"),
 }
 TOLERANCE = 0.002
-_SCHEMA = "kind string, type string, attrs string, whole boolean, parts int, times string, number string, unit string, stated boolean"
-
-
-def _read(batches: Iterator[pd.DataFrame], keep: list[str]) -> Iterator[pd.DataFrame]:
-    parser = _parser()
-    for b in batches:
-        out = {c: b[c] for c in keep}
-        rows = []
-        for text, uom in zip(b["__description"], b["__uom"]):
-            kind, number, attrs, amount = parser.profile(text)
-            u_n, u_unit = catalogue.unit_of_issue(uom)
-            if amount is None:
-                times, n, unit = ("1", u_n, u_unit) if u_n else (None, None, None)
-            else:
-                times, n, unit = amount[0], amount[1], amount[2] or u_unit
-            whole = kind is not None and number is not None and len(attrs) == len(catalogue.FULL[kind])
-            rows.append((kind, number, ";".join(f"{k}={attrs[k]}" for k in catalogue.FULL[kind] if k in attrs) if kind else None, whole, len(attrs), times, n, unit, amount is not None))
-        yield pd.DataFrame(out).assign(**dict(zip(("kind", "type", "attrs", "whole", "parts", "times", "number", "unit", "stated"), zip(*rows)))) if rows else pd.DataFrame(columns=[*keep, "kind", "type", "attrs", "whole", "parts", "times", "number", "unit", "stated"])
-
-
-_PARSER: list[catalogue.Parser] = []
-
-
-def _parser() -> catalogue.Parser:
-    """One parser for a worker, which keeps what it has learnt from task to task."""
-    if not _PARSER:
-        _PARSER.append(catalogue.Parser())
-    return _PARSER[0]
-
-
-def profiles(df: DataFrame, keep: list[str], description: str = "description", uom: str = "uom") -> DataFrame:
-    """`keep` and the profile of each record: kind, type, attrs, whole, parts, times, number, unit, stated."""
-    src = df.select(*keep, F.col(description).cast("string").alias("__description"), F.col(uom).cast("string").alias("__uom"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(keep)])
-    return src.mapInPandas(lambda it: _read(it, keep), f"{head}, {_SCHEMA}")
-
-
-#: Nouns of goods not sold by content, and of those that are; only to spare the parser rows that cannot state any.
-_PIECES = r"(?i)\b(?:bolt|nut|stud|screw|shcs|elbow|valve|vlv|flange|gasket|gauge|thermo ?well|motor|pump|contactor|filter)\b"
-_CONTENT = r"(?i)grease|oil|hydr|fluid|lub|sealant|sealing|primer|prim\b|epoxy|electrode|welding|powder|descal|scale|cable|hose|rope|wire|rod\b"
-
-
-def may_state_content(df: DataFrame) -> DataFrame:
-    d = F.coalesce("description", F.lit(""))
-    return df.filter(F.coalesce("uom", F.lit("")).rlike("[0-9]") | ~(d.rlike(_PIECES) & ~d.rlike(_CONTENT)))
+#: A line is believed if this share of a source's points lies on it.
+SUPPORT = 0.25
+#: How often the points are paired anew.
+PAIRINGS = 4
+#: Pairs of points from which on the slope between them is believed rather than the ratio.
+LEAST_PAIRS = 3
+#: The source that stands for all organisations' use of a spelling.
+EVERYONE = "*"
+#: Accuracy of the medians: they are within one part in as many of the rank.
+ACCURACY = 10_000
 
 
 def anchors(uoms: DataFrame) -> DataFrame:
@@ -146,77 +117,135 @@ def _slips(a: str, b: str) -> int:
     return last[-1]
 
 
-def learn_scales(stated: DataFrame, uoms: DataFrame, store: Store, rounds: int = 4, least_votes: int = 2) -> DataFrame:
-    """(unit, dim, scale string, how, votes, offset) of each unit spelling.
+def _mode(values: DataFrame, by: list[str], x, width) -> DataFrame:
+    """(by, mid, n): the mean of the fullest of the bins of that width, which overlap by halves, and what it holds."""
+    bins = values.withColumn("__x", x).withColumn("__b", F.explode(F.array(F.floor(F.col("__x") / width).cast("long") * 2, F.floor(F.col("__x") / width + 0.5).cast("long") * 2 - 1)))
+    full = bins.groupBy(*by, "__b").agg(F.count("*").alias("n"), F.avg("__x").alias("mid"))
+    return full.groupBy(*by).agg(F.max_by(F.struct("mid", "n"), F.struct("n", -F.abs("mid"))).alias("m")).select(*by, "m.mid", "m.n")
+
 
-    stated: entity, want (dimension of the goods or null), unit, q double.
+def _lines(points: DataFrame, table: list, store: Store) -> DataFrame:
+    """(source, unit, dim, scale, votes, offset, mid, sloped, points) of the sources whose points (q, hub of dim) lie on a line that a conversion explains.
+
+    Many an entity comes in several amounts, so half of the points and more may be beside the line: what is looked for is the fullest bin of
+    the slopes and of what the line leaves, not their median.  Points are paired by hashes of their entities, within each source
+    and dimension.  All are aggregates with partial sums, so a source with a third of all points is no trouble.
+    """
+    by = ["source", "unit", "dim"]
+    points = store.keep(points)
+    size = points.groupBy(*by).agg(F.count("*").alias("points"), F.percentile_approx("hub", 0.5, ACCURACY).alias("mid"))
+    seeds = F.explode(F.array(*map(F.lit, range(PAIRINGS)))).alias("seed")
+    paired = points.join(size.select(*by, "points"), by).select(*by, "q", "hub", "entity", "points", seeds).withColumn("bucket", F.pmod(F.xxhash64("seed", "entity"), F.greatest(F.lit(1), F.expr("points div 2"))))
+    ends = paired.groupBy(*by, "seed", "bucket").agg(F.min(F.struct("q", "hub")).alias("lo"), F.max(F.struct("q", "hub")).alias("hi")).filter("hi.q > lo.q * 1.001 and hi.hub > lo.hub")
+    slopes = _mode(ends, by, F.ln((F.col("hi.hub") - F.col("lo.hub")) / (F.col("hi.q") - F.col("lo.q"))), TOLERANCE).select(*by, F.col("mid").alias("slope"), F.col("n").alias("pairs"))
+    ratios = _mode(points, by, F.ln(F.col("hub") / F.col("q")), TOLERANCE).select(*by, F.col("mid").alias("ratio"))
+    fit = size.join(ratios, by).join(slopes, by, "left").withColumn("sloped", F.coalesce(F.col("pairs") >= LEAST_PAIRS, F.lit(False)))
+    fit = fit.withColumn("slope", F.exp(F.when(F.col("sloped"), F.col("slope")).otherwise(F.col("ratio"))))
+    snap = fit.withColumn("c", F.explode(F.array(*table))).filter((F.col("c.dim") == F.col("dim")) & (F.abs(F.col("slope") / F.col("c.scale").cast("double") - 1) < TOLERANCE))
+    snap = snap.select(*by, F.col("c.scale").alias("scale"), "mid", "sloped", "points")
+    left = points.join(snap, by).withColumn("d", F.col("hub") - F.col("q") * F.col("scale").cast("double"))
+    offset = _mode(left, by, F.col("d"), F.greatest(F.col("mid") * TOLERANCE, F.lit(1e-6))).select(*by, F.when(F.abs("mid") < 0.01, 0.0).otherwise(F.col("mid")).alias("offset"))
+    on = left.join(offset, by).filter(F.abs(F.col("d") - F.col("offset")) <= TOLERANCE * F.abs("hub"))
+    votes = on.groupBy(*by).agg(F.count_distinct("entity").alias("votes"), F.count("*").alias("on"))
+    return snap.join(offset, by).join(votes, by)
+
+
+def learn_scales(stated: DataFrame, uoms: DataFrame, store: Store, least_votes: int = 2) -> DataFrame:
+    """(source, unit, dim, scale string, how, votes, offset) of each source; dim and scale are null where none was found.
+
+    stated: source, entity, want (dimension of the goods or null), unit, q double.
     """
-    seen = store.keep(stated.groupBy("entity", "want", "unit", "q").agg(F.count("*").alias("n")))
-    spelt = seen.select("unit").distinct()
+    seen = store.keep(stated.filter("unit <> ''").groupBy(F.coalesce("source", F.lit("")).alias("source"), "entity", "want", "unit", "q").agg(F.count("*").alias("n")))
     known = anchors(uoms)
-    scales = store.keep(spelt.join(known, "unit").select("unit", "dim", "scale", F.lit("anchor").alias("how"), F.lit(0).cast("long").alias("votes"), F.lit(0.0).alias("offset")))
     table = [F.struct(F.lit(d).alias("dim"), F.lit(s).alias("scale")) for d in ("mass", "volume", "length") for s in dict.fromkeys([x[1] for x in CODES.values() if x[0] == d] + MORE[d])]
-    linked = seen.filter("entity is not null and q > 0")
-    for _ in range(rounds):
+    sources = store.keep(seen.select("source", "unit").distinct())
+    none = F.lit(0.0).alias("offset")
+    scales = store.keep(sources.join(known, "unit").select("source", "unit", "dim", "scale", F.lit("anchor").alias("how"), F.lit(0).cast("long").alias("votes"), none))
+    # an amount that every source of a spelling states alike says as much as the spelling taken together
+    linked = store.keep(seen.filter("entity is not null and q > 0"))
+    refused = None
+    while True:
         # each entity's hub: its most frequent amount among the sources resolved so far
-        resolved = linked.join(scales.select("unit", "scale", "dim"), "unit").select("entity", "dim", F.round(F.col("q") * F.col("scale").cast("double"), 3).alias("a"), "n")
+        resolved = linked.join(scales.select("source", "unit", "scale", "dim"), ["source", "unit"]).select("entity", "dim", F.round(F.col("q") * F.col("scale").cast("double"), 3).alias("a"), "n")
         hub = resolved.groupBy("entity", "dim", "a").agg(F.sum("n").alias("n")).groupBy("entity", "dim").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("hub"))
-        open_ = linked.join(scales.select("unit"), "unit", "left_anti")
-        ratio = open_.join(hub, "entity").filter("want is null or want = dim").withColumn("r", F.col("hub") / F.col("q"))
-        snap = ratio.withColumn("c", F.explode(F.array(*table))).filter(F.col("c.dim") == F.col("dim"))
-        snap = snap.filter(F.abs(F.col("r") / F.col("c.scale").cast("double") - 1) < TOLERANCE)
-        votes = snap.groupBy("unit", "c").agg(F.count_distinct("entity").alias("votes"), F.percentile("hub", 0.5).alias("mid"), F.percentile(F.col("hub") - F.col("q") * F.col("c.scale").cast("double"), 0.5).alias("offset"))
-        best = votes.groupBy("unit").agg(F.max_by(F.struct("c", "votes", "offset", "mid"), F.struct("votes", "c")).alias("b"), F.sum("votes").alias("all"))
-        found = best.filter((F.col("b.votes") >= least_votes) & (F.col("b.votes") * 2 > F.col("all")) & (F.abs("b.offset") < TOLERANCE * F.abs("b.mid")))
-        found = store.keep(found.select("unit", "b.c.dim", "b.c.scale", F.lit("linked").alias("how"), "b.votes", "b.offset"))
-        if found.isEmpty():
+        open_ = linked.join(scales.select("source", "unit"), ["source", "unit"], "left_anti")
+        if refused is not None:
+            open_ = open_.join(refused, ["source", "unit"], "left_anti")
+        point = open_.join(hub, "entity").filter("want is null or want = dim").select("source", "unit", "dim", "entity", "q", "hub")
+        both = point.withColumn("source", F.explode(F.array(F.col("source"), F.lit(EVERYONE))))
+        lines = store.keep(_lines(both, table, store))
+        straight = F.col("on") >= SUPPORT * F.col("points")
+        shifted = F.col("sloped") & (F.abs("offset") >= TOLERANCE * F.abs("mid"))
+        good = lines.filter((F.col("votes") >= least_votes) & straight & ~shifted)
+        best = good.groupBy("source", "unit").agg(F.max_by(F.struct("dim", "scale", "votes", "offset"), F.struct("on", "dim")).alias("b")).select("source", "unit", "b.*")
+        own = best.filter(F.col("source") != EVERYONE)
+        # sources that a line refuses: its slope is a conversion's, but it is shifted
+        no = lines.filter((F.col("votes") >= least_votes) & straight & shifted & (F.col("source") != EVERYONE)).select("source", "unit").distinct().join(own.select("source", "unit"), ["source", "unit"], "left_anti")
+        refused = no if refused is None else refused.unionByName(no)
+        rest = sources.join(scales.select("source", "unit"), ["source", "unit"], "left_anti").join(own.select("source", "unit"), ["source", "unit"], "left_anti").join(refused, ["source", "unit"], "left_anti")
+        shared = rest.join(best.filter(F.col("source") == EVERYONE).drop("source"), "unit")
+        cols = ["source", "unit", "dim", "scale", "how", "votes", "offset"]
+        found, count = store.measure(own.withColumn("how", F.lit("linked")).select(*cols).unionByName(shared.withColumn("how", F.lit("spelling linked")).select(*cols)), n=F.count("*"))
+        if not count["n"]:
             break
         scales = scales.unionByName(found)
-    rest = store.keep(spelt.join(scales.select("unit"), "unit", "left_anti").filter("unit <> ''"))
-    if not rest.isEmpty():
-        named = stated.sparkSession.createDataFrame([(u, d, s) for u, (d, s) in KNOWN.items()], "unit string, dim string, scale string")
-        by_name = rest.join(named, "unit").withColumn("how", F.lit("name"))
-        # misspellings of a unit that measures something else must not be taken for a length, volume or mass
-        others = uoms.filter(~F.col("uom_code").isin(*CODES)).select(F.explode(F.array_union(F.array("uom_code", "uom_name"), F.split(F.coalesce("aliases", F.lit("")), ";"))).alias("t")).filter("t <> ''")
-        others = others.select(F.lower(F.trim("t")).alias("unit"), F.lit("none").alias("dim"), F.lit("0").alias("scale"))
-        near = _near(rest.join(named.select("unit"), "unit", "left_anti"), known.unionByName(others).unionByName(others.withColumn("unit", F.concat("unit", F.lit("s")))))
-        near = near.filter("dim <> 'none'").withColumn("how", F.lit("spelling"))
-        scales = scales.unionByName(by_name.unionByName(near).withColumns({"votes": F.lit(0).cast("long"), "offset": F.lit(0.0)}))
-    return store.keep(scales.dropDuplicates(["unit"]))
+    left = sources.join(scales.select("source", "unit"), ["source", "unit"], "left_anti").join(refused, ["source", "unit"], "left_anti")
+    rest = store.keep(left.select("unit").distinct())
+    named = stated.sparkSession.createDataFrame([(u, d, s) for u, (d, s) in KNOWN.items()], "unit string, dim string, scale string")
+    by_name = rest.join(named, "unit").withColumn("how", F.lit("name"))
+    # misspellings of a unit that measures something else must not be taken for a length, volume or mass
+    others = uoms.filter(~F.col("uom_code").isin(*CODES)).select(F.explode(F.array_union(F.array("uom_code", "uom_name"), F.split(F.coalesce("aliases", F.lit("")), ";"))).alias("t")).filter("t <> ''")
+    others = others.select(F.lower(F.trim("t")).alias("unit"), F.lit("none").alias("dim"), F.lit("0").alias("scale"))
+    near = _near(rest.join(named.select("unit"), "unit", "left_anti"), known.unionByName(others).unionByName(others.withColumn("unit", F.concat("unit", F.lit("s")))))
+    near = near.filter("dim <> 'none'").withColumn("how", F.lit("spelling"))
+    guess = left.join(by_name.unionByName(near), "unit").withColumns({"votes": F.lit(0).cast("long"), "offset": F.lit(0.0)})
+    out = scales.unionByName(guess.select(*scales.columns))
+    refusal = refused.select("source", "unit", F.lit(None).cast("string").alias("dim"), F.lit(None).cast("string").alias("scale"), F.lit("refused: offset").alias("how"), F.lit(0).cast("long").alias("votes"), none)
+    return store.keep(out.unionByName(refusal).dropDuplicates(["source", "unit"]))
 
 
 def entity():
     """What the records of one product share, amount aside; null where too little is known."""
-    return F.when(F.col("whole"), F.xxhash64("kind", "type", "attrs"))
+    return F.when(F.col("whole") & F.col("type").isNotNull(), F.xxhash64("kind", "type", "attrs"))
 
 
-def want():
-    items = [F.lit(x) for kv in catalogue.CONTENT.items() for x in kv]
-    return F.create_map(*items)[F.coalesce("kind", F.lit(""))]
+def statements(read: DataFrame, source: str = "cpse") -> DataFrame:
+    """(source, entity, want, unit, q) of the kept profiles that state an amount."""
+    q = F.col("times").cast("double") * F.col("number").cast("double")
+    return read.filter("number is not null and unit is not null").select(F.col(source).alias("source"), entity().alias("entity"), F.nullif("content", F.lit(ANY)).alias("want"), "unit", q.alias("q"))
 
 
-def measured(read: DataFrame, uoms: DataFrame, store: Store) -> DataFrame:
-    """The profiles (already kept) with quantity_kind and amount: long g, ml or mm, rounded half up; null where none is stated."""
-    stated = read.filter("number is not null and unit is not null").select(entity().alias("entity"), want().alias("want"), "unit", (F.col("times").cast("double") * F.col("number").cast("double")).alias("q"))
-    scales = learn_scales(stated, uoms, store).select("unit", F.col("dim").alias("__dim"), F.col("scale").cast("decimal(18,9)").alias("__scale"))
+def measured(read: DataFrame, scales: DataFrame, source: str = "cpse") -> DataFrame:
+    """The profiles with quantity_kind and amount by the scales: long g, ml or mm, rounded half up; null where none is stated."""
+    scales = scales.select(F.col("source").alias("__source"), F.col("unit").alias("__unit"), F.col("dim").alias("__dim"), F.col("scale").cast("decimal(18,9)").alias("__scale"))
     exact = F.expr("cast(times as decimal(9,0)) * cast(number as decimal(16,6))").cast("decimal(20,6)")
     amount = F.round(exact * F.col("__scale"), 0).cast("long")
-    # scales has a row per distinct spelling; the engine broadcasts it only if it measures small
-    got = read.join(scales, "unit", "left")
-    fits = (F.col("__dim") != "none") & (amount > 0) & (~F.col("stated") | (want() == F.col("__dim")))
-    return got.withColumns({"quantity_kind": F.when(fits, F.col("__dim")), "amount": F.when(fits, amount)}).drop("__dim", "__scale")
+    # a row for each source and spelling; the engine broadcasts it only if it measures small
+    got = read.join(scales, (F.coalesce(source, F.lit("")) == F.col("__source")) & (F.col("unit") == F.col("__unit")), "left")
+    fits = F.col("__dim").isNotNull() & (amount > 0) & (~F.col("stated") | F.col("content").isNull() | F.col("content").isin(ANY) | (F.col("content") == F.col("__dim")))
+    return got.withColumns({"quantity_kind": F.when(fits, F.col("__dim")), "amount": F.when(fits, amount)}).drop("__source", "__unit", "__dim", "__scale")
+
+
+def listing():
+    """Key of a listing: organisation and code; null where either is blank."""
+    return F.when((F.trim("material_code") != "") & F.col("cpse").isNotNull(), F.concat_ws("|", "cpse", F.upper(F.trim("material_code"))))
+
+
+def read_materials(materials: DataFrame, store: Store) -> tuple[DataFrame, Lexicon]:
+    """(rec_id, cpse, listing (64 bits of its key) and the profile of each record, kept; the lexicon)."""
+    src = materials.select("rec_id", "cpse", F.when(listing().isNotNull(), F.xxhash64(listing())).alias("listing"), "description", "uom")
+    return profiles.profiles(src, ["rec_id", "cpse", "listing"], store, "listing")
 
 
 def contents(materials: DataFrame, uoms: DataFrame) -> DataFrame:
     """(rec_id, quantity_kind, amount) of the records that state what one stock unit holds."""
     store = Store(materials.sparkSession)
-    read = store.keep(profiles(may_state_content(materials), ["rec_id"]).filter("number is not null"))
-    return measured(read, uoms, store).filter("amount is not null").select("rec_id", "quantity_kind", "amount")
+    read, _ = read_materials(materials, store)
+    return measured(read.filter("number is not null"), learn_scales(statements(read), uoms, store)).filter("amount is not null").select("rec_id", "quantity_kind", "amount")
 
 
 def scale_report(materials: DataFrame, uoms: DataFrame) -> DataFrame:
-    """(unit, quantity_kind, scale, how, votes): what each unit spelling was found to mean."""
+    """(source, unit, quantity_kind, scale, how, votes): what each organisation's unit spelling was found to mean."""
     store = Store(materials.sparkSession)
-    read = store.keep(profiles(may_state_content(materials), ["rec_id"]).filter("number is not null"))
-    stated = read.filter("unit is not null").select(entity().alias("entity"), want().alias("want"), "unit", (F.col("times").cast("double") * F.col("number").cast("double")).alias("q"))
-    return learn_scales(stated, uoms, store).select("unit", F.col("dim").alias("quantity_kind"), F.col("scale").cast("double").alias("scale"), "how", "votes")
+    scales = learn_scales(statements(read_materials(materials, store)[0]), uoms, store)
+    return scales.select("source", "unit", F.col("dim").alias("quantity_kind"), F.col("scale").cast("double").alias("scale"), "how", "votes")
