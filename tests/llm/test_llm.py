@@ -34,13 +34,26 @@ def hint_list(spark, rows=HINTS):
 
 # --- 2: the same item ---------------------------------------------------------
 
+BACKGROUND, OFF = "/root/testdata/sf0.01", 10_000_000
 
-def pairs(spark, rows):
-    return {(r.rec_a, r.rec_b) for r in resolve.same_products(materials(spark, rows), uom_list(spark)).collect()}
 
+@pytest.fixture(scope="module")
+def product(spark):
+    """product(first, rows): pairs among the rows of one case, numbered from `first`.
 
-def test_same_products(spark):
-    rows = [
+    What words and kinds mean is learnt from the catalogue itself, so all cases are resolved at once, beside a catalogue.
+    """
+    known = spark.read.parquet(f"{BACKGROUND}/iocl_materials.parquet").select("rec_id", "cpse", "material_code", "description", "uom")
+    rows = [(OFF + 100 * k + i, *r[:4], *EXTRA[:1]) for k, case in enumerate(CASES.values()) for i, r in enumerate(case, 1)]
+    ours = spark.createDataFrame(rows, "rec_id long, cpse string, material_code string, description string, uom string, listing string")
+    both = known.withColumn("listing", known["cpse"]).unionByName(ours)
+    got = resolve.same_products(both, spark.read.parquet(f"{BACKGROUND}/uom_list.parquet")).filter(f"rec_a > {OFF}").collect()
+    at = {name: OFF + 100 * k for k, name in enumerate(CASES)}
+    return lambda name: {(r.rec_a - at[name], r.rec_b - at[name]) for r in got if at[name] < r.rec_a < at[name] + 100}
+
+
+CASES = {
+    "wordings": [
         plain("A", "1", "BALL VALVE | NPS 2 | CL 800 | S.S. 316 | SOCKET WELD | TYPE 63088"),
         plain("B", "1", "valve ball type; dn50; 800#; aisi 316; skt weld; make Zork; uo-63 088"),
         plain("C", "1", "ball valve, dn 50, class 300, ss316, sw, drg 63088"),  # another rating
@@ -54,17 +67,54 @@ def test_same_products(spark):
         plain("I", "2", "gear oil / 12345 / ISO VG 46", "20 L"),
         plain("J", "2", "gear oil / 12345 / ISO VG 46 / 20 ltr can"),
         plain(None, "2", "x" * 100_000),
-    ]
-    assert pairs(spark, rows) == {(1, 2), (1, 4), (1, 5), (2, 4), (2, 5), (2, 9), (4, 9), (5, 9), (11, 12)}
-
-
-def test_partial_profiles_are_put_together(spark):
-    rows = [plain("A", "1", "hex nut, size m22, grade 8.8"), plain("A", "1", "hex nut, grade 8.8, zinc plated, drg 12345"), plain("B", "1", "hex nut; m 22; pc 8.8; zp; 12345")]
-    assert pairs(spark, rows) == {(1, 3), (2, 3)}
+    ],
+    "partial": [plain("A", "71", "hex nut, size m22, grade 8.8"), plain("A", "71", "hex nut, grade 8.8, zinc plated, drg 12346"), plain("B", "71", "hex nut; m 22; pc 8.8; zp; 12346")],
+    # no catalogue knows these items
+    "unseen kinds": [
+        plain("A", "81", "CONVEYOR BELT | EP 400 | 4 PLY | WIDTH: 800 MM | TYPE 63088"),
+        plain("B", "81", "belt, conveyor; type 63088; 4 ply; ep-400; 800mm"),
+        plain("C", "81", "conveyor belt, ep 500, 4 ply, 800 mm, type 63088"),  # stronger
+        plain("A", "82", "Power transformer - 2500 kVA - ONAN - 33/11 kV - drg 55123"),
+        plain("B", "82", "transformer, power / onan / 33/11 kV / 2500 kva / drg 55123"),
+        plain("C", "82", "transformer, power / onan / 33/11 kV / 1600 kva / drg 55123"),
+        plain("A", "83", "SAFETY HELMET; YELLOW; 6 POINT; RATCHET; TYPE 40404"),
+        plain("B", "83", "helmet, safety, ratchet, yellow, 6 point, type 40404"),
+        plain("C", "83", "helmet, safety, ratchet, white, 6 point, type 40404"),
+    ],
+    # the listing of B names item and number only with what A's listing gives it, and its last record is told by that alone
+    "across organisations": [
+        plain("A", "91", "ball valve, dn 50, class 800, ss316, sw, drg 99188"),
+        plain("B", "91", "ball valve, dn 50, class 800, drg 99188"),
+        plain("B", "91", "drg 99188, valve"),
+        plain("C", "91", "valve ball type; dn50; 800#; aisi 316; skt weld; 99188"),
+    ],
+    "two fit": [
+        plain("A", "92", "ball valve, dn 50, class 800, ss316, sw, drg 99288"),
+        plain("C", "92", "ball valve, dn 50, class 800, ss304, sw, drg 99288"),
+        plain("B", "92", "ball valve, dn 50, class 800, drg 99288"),  # could be either
+    ],
+}
+
+
+def test_same_products(product):
+    assert product("wordings") == {(1, 2), (1, 4), (1, 5), (2, 4), (2, 5), (2, 9), (4, 9), (5, 9), (11, 12)}
+
+
+def test_items_that_no_list_knows(product):
+    assert product("unseen kinds") == {(1, 2), (4, 5), (7, 8)}
+
+
+def test_merging_across_organisations_makes_pairs(product):
+    assert product("across organisations") == {(1, 2), (1, 3), (1, 4), (2, 4), (3, 4)}
+    assert product("two fit") == set()
+
+
+def test_partial_profiles_are_put_together(product):
+    assert product("partial") == {(1, 3), (2, 3)}
 
 
 def test_same_products_of_nothing(spark):
-    assert pairs(spark, []) == set()
+    assert resolve.same_products(materials(spark, []), uom_list(spark)).count() == 0
 
 
 # --- 3: canonical values ---------------------------------------------------------
