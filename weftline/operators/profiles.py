@@ -43,13 +43,21 @@ def word_counts(texts: DataFrame, least: float) -> dict[str, int]:
     return {r.w: r.n for r in _known(texts.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")), least)}
 
 
-def _reader(keep: list[str], counts: dict[str, int]):
-    parsers: list[catalogue.Parser] = []
+_PARSERS: dict[int, catalogue.Parser] = {}
+
+
+def _parser(counts: dict[str, int]) -> catalogue.Parser:
+    """One parser for a worker and its words, which keeps what it has read from task to task."""
+    key = hash(frozenset(counts.items()))
+    if key not in _PARSERS:
+        _PARSERS.clear()
+        _PARSERS[key] = catalogue.Parser(counts)
+    return _PARSERS[key]
+
 
+def _reader(keep: list[str], counts: dict[str, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not parsers:
-            parsers.append(catalogue.Parser(counts))
-        features = parsers[0].features
+        features = _parser(counts).features
         for b in batches:
             rows = []
             for text, uom in zip(b["__description"], b["__uom"]):
@@ -85,24 +93,28 @@ def least_count(records: int) -> float:
 def learn(read: DataFrame, counts: dict[str, int], records: int, store: Store, listing: str | None) -> lexicon.Lexicon:
     """The lexicon of kept features; listing: a column that is alike for deliveries of one item."""
     least = least_count(records)
-    combos = store.keep(read.groupBy("words", "keys").agg(F.count("*").alias("n")))
-    word, key = F.explode(F.split("words", " ")).alias("w"), F.explode(F.split("keys", " ")).alias("k")
-    each = combos.select(word, "keys", "n").filter("w <> ''")
-    seen = {r.w: r.n for r in _known(each.groupBy("w").agg(F.sum("n").alias("n")), least)}
-    attributes = {r.k: r.n for r in combos.select(key, "n").filter("k <> '' and k <> 'type'").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    beside = _beside(each.select("w", key, "n"), seen) if seen else {}
-    idle = lexicon.idle_words(seen, beside, attributes, max(records, 1))
+    ws, ks = F.filter(F.split("words", " "), lambda w: w != ""), F.filter(F.split("keys", " "), lambda k: (k != "") & (k != "type"))
+    # each word, each attribute, and each word beside each attribute of a record; "" stands for none
+    met = F.flatten(F.transform(F.concat(F.array(F.lit("")), ws), lambda w: F.transform(F.concat(F.array(F.lit("")), ks), lambda k: F.struct(w.alias("w"), k.alias("k")))))
+    beside = store.keep(read.select(F.inline(met)).groupBy("w", "k").agg(F.count("*").alias("n")))
+    seen = {r.w: r.n for r in _known(beside.filter("k = '' and w <> ''"), least)}
+    attributes = {r.k: r.n for r in beside.filter("w = '' and k <> ''").collect()}
+    known = F.broadcast(read.sparkSession.createDataFrame([(w,) for w in seen], "w string"))
+    pairs = {(r.w, r.k): r.n for r in beside.filter("k <> ''").join(known, "w").collect()}
+    idle = lexicon.idle_words(seen, pairs, attributes, max(records, 1))
     # a record's name: its words but for the idle ones
     name = F.array_join(F.array_except(F.split("words", " "), F.array(*map(F.lit, sorted(idle)))), " ") if idle else F.col("words")
-    named = combos.select(name.alias("name"), "keys", "n").filter("name <> ''")
+    named = store.keep(read.select(name.alias("name"), "keys").filter("name <> ''").groupBy("name", "keys").agg(F.count("*").alias("n")))
     names = {r.name: r.n for r in _known(named.groupBy("name").agg(F.sum("n").alias("n")), least)}
     if not names:
         return lexicon.Lexicon(counts, frozenset(idle))
     spark = read.sparkSession
     order = sorted(names)
     table = F.broadcast(spark.createDataFrame([(n, i) for i, n in enumerate(order)], "name string, i int"))  # at most 1 / KNOWN_SHARE rows
-    stated = named.join(table, "name").select("i", F.explode(F.split("keys", " ")).alias("k"), "n").groupBy("i", "k").agg(F.sum("n").alias("n")).collect()
-    some = named.join(table, "name").filter("keys <> ''").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    # "" counts the records that state anything
+    each = F.explode(F.concat(F.array(F.lit("")), F.split("keys", " "))).alias("k")
+    counted = named.filter("keys <> ''").join(table, "name").select("i", each, "n").groupBy("i", "k").agg(F.sum("n").alias("n")).collect()
+    stated, some = [r for r in counted if r.k], [r for r in counted if not r.k]
     kinds = {n: n for n in order}
     if listing is not None:
         kinds.update(lexicon.linked_names(_votes(read, name, listing, table, order)))
@@ -112,12 +124,6 @@ def learn(read: DataFrame, counts: dict[str, int], records: int, store: Store, l
     return lexicon.Lexicon(counts, frozenset(idle), settled, own, content)
 
 
-def _beside(pairs: DataFrame, seen: dict[str, int]) -> dict[tuple[str, str], int]:
-    known = F.broadcast(pairs.sparkSession.createDataFrame([(w,) for w in seen], "w string"))
-    got = pairs.filter("k <> '' and k <> 'type'").join(known, "w").groupBy("w", "k").agg(F.sum("n").alias("n"))
-    return {(r.w, r.k): r.n for r in got.collect()}
-
-
 def _votes(read: DataFrame, name, listing: str, table: DataFrame, order: list[str]) -> dict[tuple[str, str], int]:
     """In how many listings two known names, or one twice, stand for one item."""
     said = read.filter(F.col(listing).isNotNull()).select(F.xxhash64(listing).alias("l"), name.alias("name")).join(table, "name")
@@ -174,10 +180,15 @@ def _profiler(keep: list[str], lex: lexicon.Lexicon):
     return run
 
 
-def profiles(materials: DataFrame, keep: list[str], store: Store, listing: str | None, description: str = "description", uom: str = "uom") -> tuple[DataFrame, lexicon.Lexicon]:
-    """(`keep` and the profile of each record, kept: kind, type, attrs, whole, parts, times, number, unit, stated, content; what was learnt)."""
+def profiles(materials: DataFrame, keep: list[str], store: Store, listing: str | None, only: str | None = None, description: str = "description", uom: str = "uom") -> tuple[DataFrame, lexicon.Lexicon]:
+    """(`keep` and the profile of each record, kept: kind, type, attrs, whole, parts, times, number, unit, stated, content; what was learnt).
+
+    only: a condition on the features (words, attrs, types, amounts, numbers, keys, times, number, unit) of the records
+    that are to have a profile; all are learnt from.
+    """
     read, counts, n = features(materials, keep, store, description, uom)
     lex = learn(read, counts, n, store, listing)
-    got = store.keep(read.mapInPandas(_profiler(keep, lex), f"{_head(read, keep)}, {_PROFILE}"))
+    wanted = read if only is None else read.filter(only)
+    got = store.keep(wanted.mapInPandas(_profiler(keep, lex), f"{_head(read, keep)}, {_PROFILE}"))
     store.drop(read)
     return got, lex

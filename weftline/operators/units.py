@@ -55,7 +55,7 @@ TOLERANCE = 0.002
 #: A line is believed if this share of a source's points lies on it.
 SUPPORT = 0.25
 #: How often the points are paired anew.
-PAIRINGS = 4
+PAIRINGS = 2
 #: Pairs of points from which on the slope between them is believed rather than the ratio.
 LEAST_PAIRS = 3
 #: The source that stands for all organisations' use of a spelling.
@@ -124,7 +124,7 @@ def _mode(values: DataFrame, by: list[str], x, width) -> DataFrame:
     return full.groupBy(*by).agg(F.max_by(F.struct("mid", "n"), F.struct("n", -F.abs("mid"))).alias("m")).select(*by, "m.mid", "m.n")
 
 
-def _lines(points: DataFrame, table: list, store: Store) -> DataFrame:
+def _lines(points: DataFrame, table: list) -> DataFrame:
     """(source, unit, dim, scale, votes, offset, mid, sloped, points) of the sources whose points (q, hub of dim) lie on a line that a conversion explains.
 
     Many an entity comes in several amounts, so half of the points and more may be beside the line: what is looked for is the fullest bin of
@@ -132,7 +132,6 @@ def _lines(points: DataFrame, table: list, store: Store) -> DataFrame:
     and dimension.  All are aggregates with partial sums, so a source with a third of all points is no trouble.
     """
     by = ["source", "unit", "dim"]
-    points = store.keep(points)
     size = points.groupBy(*by).agg(F.count("*").alias("points"), F.percentile_approx("hub", 0.5, ACCURACY).alias("mid"))
     seeds = F.explode(F.array(*map(F.lit, range(PAIRINGS)))).alias("seed")
     paired = points.join(size.select(*by, "points"), by).select(*by, "q", "hub", "entity", "points", seeds).withColumn("bucket", F.pmod(F.xxhash64("seed", "entity"), F.greatest(F.lit(1), F.expr("points div 2"))))
@@ -158,50 +157,50 @@ def learn_scales(stated: DataFrame, uoms: DataFrame, store: Store, least_votes:
     seen = store.keep(stated.filter("unit <> ''").groupBy(F.coalesce("source", F.lit("")).alias("source"), "entity", "want", "unit", "q").agg(F.count("*").alias("n")))
     known = anchors(uoms)
     table = [F.struct(F.lit(d).alias("dim"), F.lit(s).alias("scale")) for d in ("mass", "volume", "length") for s in dict.fromkeys([x[1] for x in CODES.values() if x[0] == d] + MORE[d])]
-    sources = store.keep(seen.select("source", "unit").distinct())
-    none = F.lit(0.0).alias("offset")
-    scales = store.keep(sources.join(known, "unit").select("source", "unit", "dim", "scale", F.lit("anchor").alias("how"), F.lit(0).cast("long").alias("votes"), none))
-    # an amount that every source of a spelling states alike says as much as the spelling taken together
+    cols = ["source", "unit", "dim", "scale", "how", "votes", "offset"]
+    blank = [F.lit(0).cast("long").alias("votes"), F.lit(0.0).alias("offset")]
+    all_ = seen.select("source", "unit").distinct().join(known, "unit", "left")
+    # every source, with its scale once that is found; how: "" while it is open
+    scales = store.keep(all_.select("source", "unit", "dim", "scale", F.when(F.col("dim").isNotNull(), "anchor").otherwise("").alias("how"), *blank))
     linked = store.keep(seen.filter("entity is not null and q > 0"))
-    refused = None
     while True:
+        j = linked.join(scales.select("source", "unit", "scale", F.col("dim").alias("d"), "how"), ["source", "unit"])
         # each entity's hub: its most frequent amount among the sources resolved so far
-        resolved = linked.join(scales.select("source", "unit", "scale", "dim"), ["source", "unit"]).select("entity", "dim", F.round(F.col("q") * F.col("scale").cast("double"), 3).alias("a"), "n")
+        resolved = j.filter("scale is not null").select("entity", F.col("d").alias("dim"), F.round(F.col("q") * F.col("scale").cast("double"), 3).alias("a"), "n")
         hub = resolved.groupBy("entity", "dim", "a").agg(F.sum("n").alias("n")).groupBy("entity", "dim").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("hub"))
-        open_ = linked.join(scales.select("source", "unit"), ["source", "unit"], "left_anti")
-        if refused is not None:
-            open_ = open_.join(refused, ["source", "unit"], "left_anti")
-        point = open_.join(hub, "entity").filter("want is null or want = dim").select("source", "unit", "dim", "entity", "q", "hub")
-        both = point.withColumn("source", F.explode(F.array(F.col("source"), F.lit(EVERYONE))))
-        lines = store.keep(_lines(both, table, store))
-        straight = F.col("on") >= SUPPORT * F.col("points")
-        shifted = F.col("sloped") & (F.abs("offset") >= TOLERANCE * F.abs("mid"))
-        good = lines.filter((F.col("votes") >= least_votes) & straight & ~shifted)
-        best = good.groupBy("source", "unit").agg(F.max_by(F.struct("dim", "scale", "votes", "offset"), F.struct("on", "dim")).alias("b")).select("source", "unit", "b.*")
-        own = best.filter(F.col("source") != EVERYONE)
-        # sources that a line refuses: its slope is a conversion's, but it is shifted
-        no = lines.filter((F.col("votes") >= least_votes) & straight & shifted & (F.col("source") != EVERYONE)).select("source", "unit").distinct().join(own.select("source", "unit"), ["source", "unit"], "left_anti")
-        refused = no if refused is None else refused.unionByName(no)
-        rest = sources.join(scales.select("source", "unit"), ["source", "unit"], "left_anti").join(own.select("source", "unit"), ["source", "unit"], "left_anti").join(refused, ["source", "unit"], "left_anti")
-        shared = rest.join(best.filter(F.col("source") == EVERYONE).drop("source"), "unit")
-        cols = ["source", "unit", "dim", "scale", "how", "votes", "offset"]
-        found, count = store.measure(own.withColumn("how", F.lit("linked")).select(*cols).unionByName(shared.withColumn("how", F.lit("spelling linked")).select(*cols)), n=F.count("*"))
+        point = j.filter("how = ''").join(hub, "entity").filter("want is null or want = dim").select("source", "unit", "dim", "entity", "q", "hub")
+        points, count = store.measure(point.withColumn("source", F.explode(F.array(F.col("source"), F.lit(EVERYONE)))), n=F.count("*"))
         if not count["n"]:
             break
-        scales = scales.unionByName(found)
-    left = sources.join(scales.select("source", "unit"), ["source", "unit"], "left_anti").join(refused, ["source", "unit"], "left_anti")
-    rest = store.keep(left.select("unit").distinct())
+        lines = store.keep(_lines(points, table).filter((F.col("votes") >= least_votes) & (F.col("on") >= SUPPORT * F.col("points"))))
+        store.drop(points)
+        shifted = F.col("sloped") & (F.abs("offset") >= TOLERANCE * F.abs("mid"))
+        best = lines.groupBy("source", "unit").agg(F.max_by(F.struct("dim", "scale", "votes", "offset"), F.when(~shifted, F.struct("on", "dim"))).alias("b"), F.min(shifted).alias("refused"))
+        own = best.filter(F.col("source") != EVERYONE).select("source", "unit", F.col("b").alias("own"), "refused")
+        shared = best.filter((F.col("source") == EVERYONE) & ~F.col("refused")).select("unit", F.col("b").alias("shared"))
+        j = scales.join(own, ["source", "unit"], "left").join(shared, "unit", "left")
+        open_ = F.col("how") == ""
+        # a source whose own points lie on a shifted line measures something else, whatever the spelling means elsewhere
+        new = F.when(~open_, "").when(F.col("refused"), "refused: offset").when(F.col("own").isNotNull(), "linked").when(F.col("shared").isNotNull(), "spelling linked").otherwise("")
+        value = F.when(F.col("new") == "linked", F.col("own")).when(F.col("new") == "spelling linked", F.col("shared"))
+        step = j.withColumn("new", new).withColumn("v", value)
+        step = step.select("source", "unit", *(F.coalesce(f"v.{c}", c).alias(c) for c in ("dim", "scale")), F.when(F.col("new") != "", F.col("new")).otherwise(F.col("how")).alias("how"), *(F.coalesce(f"v.{c}", c).alias(c) for c in ("votes", "offset")), (F.col("new") != "").alias("found"))
+        step, count = store.measure(step, found=F.count_if("found"))
+        store.drop(scales)
+        scales = step.drop("found")
+        scales._weftline_path = step._weftline_path
+        if not count["found"]:
+            break
+    rest = scales.filter("how = ''").select("unit").distinct()
     named = stated.sparkSession.createDataFrame([(u, d, s) for u, (d, s) in KNOWN.items()], "unit string, dim string, scale string")
-    by_name = rest.join(named, "unit").withColumn("how", F.lit("name"))
+    by_name = rest.join(F.broadcast(named), "unit").withColumn("how", F.lit("name"))  # a fixed table
     # misspellings of a unit that measures something else must not be taken for a length, volume or mass
     others = uoms.filter(~F.col("uom_code").isin(*CODES)).select(F.explode(F.array_union(F.array("uom_code", "uom_name"), F.split(F.coalesce("aliases", F.lit("")), ";"))).alias("t")).filter("t <> ''")
     others = others.select(F.lower(F.trim("t")).alias("unit"), F.lit("none").alias("dim"), F.lit("0").alias("scale"))
-    near = _near(rest.join(named.select("unit"), "unit", "left_anti"), known.unionByName(others).unionByName(others.withColumn("unit", F.concat("unit", F.lit("s")))))
-    near = near.filter("dim <> 'none'").withColumn("how", F.lit("spelling"))
-    guess = left.join(by_name.unionByName(near), "unit").withColumns({"votes": F.lit(0).cast("long"), "offset": F.lit(0.0)})
-    out = scales.unionByName(guess.select(*scales.columns))
-    refusal = refused.select("source", "unit", F.lit(None).cast("string").alias("dim"), F.lit(None).cast("string").alias("scale"), F.lit("refused: offset").alias("how"), F.lit(0).cast("long").alias("votes"), none)
-    return store.keep(out.unionByName(refusal).dropDuplicates(["source", "unit"]))
+    near = _near(rest.filter(~F.col("unit").isin(*KNOWN)), known.unionByName(others).unionByName(others.withColumn("unit", F.concat("unit", F.lit("s")))))
+    guess = by_name.unionByName(near.filter("dim <> 'none'").withColumn("how", F.lit("spelling"))).select("unit", F.struct("dim", "scale", "how").alias("g"))
+    out = scales.join(guess, "unit", "left").withColumn("g", F.when(F.col("how") == "", F.col("g")))
+    return store.keep(out.select("source", "unit", F.coalesce("g.dim", "dim").alias("dim"), F.coalesce("g.scale", "scale").alias("scale"), F.coalesce("g.how", "how").alias("how"), "votes", "offset").select(*cols))
 
 
 def entity():
@@ -231,21 +230,25 @@ def listing():
     return F.when((F.trim("material_code") != "") & F.col("cpse").isNotNull(), F.concat_ws("|", "cpse", F.upper(F.trim("material_code"))))
 
 
-def read_materials(materials: DataFrame, store: Store) -> tuple[DataFrame, Lexicon]:
+#: A record whose features state no amount has none.
+AMOUNTS = "amounts <> '' or number is not null"
+
+
+def read_materials(materials: DataFrame, store: Store, only: str | None = None) -> tuple[DataFrame, Lexicon]:
     """(rec_id, cpse, listing (64 bits of its key) and the profile of each record, kept; the lexicon)."""
     src = materials.select("rec_id", "cpse", F.when(listing().isNotNull(), F.xxhash64(listing())).alias("listing"), "description", "uom")
-    return profiles.profiles(src, ["rec_id", "cpse", "listing"], store, "listing")
+    return profiles.profiles(src, ["rec_id", "cpse", "listing"], store, "listing", only)
 
 
 def contents(materials: DataFrame, uoms: DataFrame) -> DataFrame:
     """(rec_id, quantity_kind, amount) of the records that state what one stock unit holds."""
     store = Store(materials.sparkSession)
-    read, _ = read_materials(materials, store)
+    read, _ = read_materials(materials, store, AMOUNTS)
     return measured(read.filter("number is not null"), learn_scales(statements(read), uoms, store)).filter("amount is not null").select("rec_id", "quantity_kind", "amount")
 
 
 def scale_report(materials: DataFrame, uoms: DataFrame) -> DataFrame:
     """(source, unit, quantity_kind, scale, how, votes): what each organisation's unit spelling was found to mean."""
     store = Store(materials.sparkSession)
-    scales = learn_scales(statements(read_materials(materials, store)[0]), uoms, store)
+    scales = learn_scales(statements(read_materials(materials, store, AMOUNTS)[0]), uoms, store)
     return scales.select("source", "unit", F.col("dim").alias("quantity_kind"), F.col("scale").cast("double").alias("scale"), "how", "votes")
