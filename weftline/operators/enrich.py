@@ -32,19 +32,32 @@ def typed(df: DataFrame, description: str, text: str = "t", fine: str = "fine")
     return df.withColumn(fine, F.expr(h.fine_type(SPARK, text)))
 
 
+def readings(texts: DataFrame, description: str = "description") -> DataFrame:
+    """(description, t, fine, category, a_*) of each distinct description.
+
+    Descriptions are repeated, and a hundred patterns a text are heavy work on little data: each is read
+    once, in as many tasks as a shuffle has, which the engine does not coalesce.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = texts.select(description).repartition(parts, description).distinct()
+    return with_attributes(typed(each, description)).withColumn("category", F.expr(h.category(SPARK, "fine")))
+
+
+#: The code of a record that is not known well enough to be merged: its listing's own.
+PROVISIONAL = "concat('PROVISIONAL-', substr(upper(replace(fine, ' ', '')), 1, 14), '-', org, '-', code)"
+
+
 def enrich(materials: DataFrame) -> DataFrame:
-    """The whole chain: one projection after the other, each rule evaluated once a row.
+    """The whole chain: one projection after the other, each rule evaluated once a description.
 
-    A hundred patterns a row are heavy work on little data: a small table is spread over all cores.
+    issued: the code of the record's canonical form; nmc: that, or a provisional one where the record is incomplete.
     """
     rows = ingest(materials)
-    cores = materials.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores)
-    df = with_attributes(typed(rows, "description"))
-    df = df.withColumns({"category": F.expr(h.category(SPARK, "fine")), "unit": F.expr(h.uom(SPARK, "uom")), "price": F.expr(h.rate(SPARK, "rate"))})
+    df = rows.join(readings(rows), "description")
+    df = df.withColumns({"unit": F.expr(h.uom(SPARK, "uom")), "price": F.expr(h.rate(SPARK, "rate"))})
     df = df.withColumns({"complete": F.expr(h.complete(SPARK, "fine", col())), "canon": F.expr(h.canonical(SPARK, "fine", "unit", col()))})
-    return df.withColumn("nmc", F.expr(h.code(SPARK, "canon")))
+    df = df.withColumn("issued", F.expr(h.code(SPARK, "canon")))
+    return df.withColumn("nmc", F.expr(f"CASE WHEN complete THEN issued ELSE {PROVISIONAL} END"))
 
 
 def attributes_sql(source: str, text: str = "t", fine: str = "fine", prefix: str = "a_") -> str:
@@ -62,4 +75,5 @@ y AS MATERIALIZED (SELECT *, {h.fine_type(d, 't')} AS fine FROM n),
 a AS MATERIALIZED ({attributes_sql('y')}),
 u AS MATERIALIZED (SELECT *, {h.category(d, 'fine')} AS category, {h.uom(d, 'uom')} AS unit, {h.rate(d, 'rate')} AS price FROM a),
 c AS MATERIALIZED (SELECT *, {h.complete(d, 'fine', col())} AS complete, {h.canonical(d, 'fine', 'unit', col())} AS canon FROM u),
-e AS MATERIALIZED (SELECT *, {h.code(d, 'canon')} AS nmc FROM c)"""
+i AS MATERIALIZED (SELECT *, {h.code(d, 'canon')} AS issued FROM c),
+e AS MATERIALIZED (SELECT *, CASE WHEN complete THEN issued ELSE {PROVISIONAL} END AS nmc FROM i)"""

@@ -13,12 +13,12 @@ from weftline.operators.similarity import token_sort_ratio
 
 
 def sides(pairs: DataFrame) -> DataFrame:
-    """Both descriptions of each pair typed and read: x_* and y_*."""
+    """Both descriptions of each pair typed and read: x_* and y_*.  Each distinct description is read once."""
     df = pairs.withColumns({"xd": F.coalesce("a_desc", F.lit("")), "yd": F.coalesce("b_desc", F.lit(""))})
+    read = en.readings(df.select(F.explode(F.array("xd", "yd")).alias("description")))
     for s in "xy":
-        df = en.typed(df, f"{s}d", f"{s}t", f"{s}f")
-        df = en.with_attributes(df, f"{s}t", f"{s}f", f"{s}_")
-        df = df.withColumn(f"{s}c", F.expr(h.category(SPARK, f"{s}f")))
+        names = {"description": f"{s}d", "t": f"{s}t", "fine": f"{s}f", "category": f"{s}c", **{f"a_{k}": f"{s}_{k}" for k in en.KEYS}}
+        df = df.join(read.select(*(F.col(c).alias(n) for c, n in names.items())), f"{s}d")
     return df
 
 

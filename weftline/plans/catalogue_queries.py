@@ -98,7 +98,7 @@ def formula_guard(spark, d):
 
 @query(E + "SELECT rec_id, t FROM n")
 def normalize_text(spark, d):
-    return en.typed(en.ingest(t(spark, d, "iocl_materials")), "description").select("rec_id", "t")
+    return enriched(spark, d).select("rec_id", "t")
 
 
 @query(f"SELECT rec_id, {h.uom(DUCK, 'uom')} AS unit FROM iocl_materials")
@@ -192,28 +192,36 @@ def std_description(spark, d):
     return enriched(spark, d).select("rec_id", F.expr(h.description(SPARK, "fine", "unit", en.col())).alias("standard"))
 
 
-@query(E + "SELECT rec_id, canon, nmc FROM e")
+@query(E + "SELECT rec_id, canon, issued AS nmc FROM e")
 def issue_code(spark, d):
-    return enriched(spark, d).select("rec_id", "canon", "nmc")
+    return enriched(spark, d).select("rec_id", "canon", F.col("issued").alias("nmc"))
 
 
-@query(E + """, s AS (SELECT canon, nmc, rec_id, row_number() OVER (PARTITION BY nmc ORDER BY rec_id) AS i, count(*) OVER (PARTITION BY canon) AS twins FROM e)
-SELECT rec_id, CASE WHEN i = 1 THEN nmc ELSE nmc || upper(substr(sha1((i - 1) || '|' || canon), 1, 2)) END AS nmc, i AS place FROM s""")
+@query(E + """, f AS (SELECT DISTINCT issued, canon FROM e),
+s AS (SELECT x.issued, x.canon, (SELECT count(*) FROM f y WHERE y.issued = x.issued AND y.canon < x.canon) AS lesser FROM f x)
+SELECT canon, CASE WHEN lesser = 0 THEN issued ELSE issued || '-' || lesser END AS nmc, lesser + 1 AS place FROM s""")
 def code_collision(spark, d):
-    w = W.partitionBy("nmc").orderBy("rec_id")
-    s = enriched(spark, d).select("rec_id", "canon", "nmc").withColumn("place", F.row_number().over(w))
-    more = F.upper(F.substring(F.sha1(F.concat((F.col("place") - 1).cast("string"), F.lit("|"), "canon")), 1, 2))
-    return s.select("rec_id", F.when(F.col("place") == 1, F.col("nmc")).otherwise(F.concat("nmc", more)).alias("nmc"), F.col("place").cast("long").alias("place"))
+    """A code for each canonical form; forms that share a hash are told apart by their place among them, so that no code is given twice."""
+    forms = enriched(spark, d).select("issued", "canon").distinct()
+    s = forms.withColumn("place", F.row_number().over(W.partitionBy("issued").orderBy("canon")).cast("long"))  # the forms of one hash: a handful
+    return s.select("canon", F.when(F.col("place") == 1, F.col("issued")).otherwise(F.concat_ws("-", "issued", F.col("place") - 1)).alias("nmc"), "place")
 
 
-@query(E + """, s AS (SELECT *, count(*) OVER (PARTITION BY canon) AS twins FROM e)
-SELECT rec_id, twins, CASE WHEN twins > 1 THEN 'PROVISIONAL-' || substr(upper(replace(fine, ' ', '')), 1, 14) || '-' || org || '-' || code ELSE nmc END AS issued FROM s""")
+_FORM = h.canonical(DUCK, "fine", "unit", lambda k: "cast(NULL AS VARCHAR)" if k == "std" else f"a_{k}")
+
+
+@query(E + f""", o AS (SELECT issued FROM e WHERE complete GROUP BY issued HAVING count(*) = 1),
+f AS (SELECT rec_id, fine, org, code, issued, concat_ws('|', {_FORM}, a_coil) AS form FROM e WHERE complete AND issued IN (SELECT issued FROM o)),
+w AS (SELECT form, count(*) AS twins FROM f GROUP BY form)
+SELECT rec_id, twins, CASE WHEN twins > 1 THEN {en.PROVISIONAL} ELSE issued END AS nmc FROM f JOIN w USING (form)""")
 def twin_detection(spark, d):
-    e = enriched(spark, d)
-    twins = e.groupBy("canon").agg(F.count("*").alias("twins"))
-    s = e.join(twins, "canon")
-    p = F.concat(F.lit("PROVISIONAL-"), F.substring(F.upper(F.regexp_replace("fine", " ", "")), 1, 14), F.lit("-"), "org", F.lit("-"), "code")
-    return s.select("rec_id", "twins", F.when(F.col("twins") > 1, p).otherwise(F.col("nmc")).alias("issued"))
+    """Of the complete records that are alone in their group: how many have the same form but for standards, and the code that they get for it."""
+    e = enriched(spark, d).filter("complete")
+    alone = e.groupBy("issued").agg(F.count("*").alias("n")).filter("n = 1").select("issued")
+    form = h.canonical(SPARK, "fine", "unit", lambda k: "cast(NULL AS STRING)" if k == "std" else f"a_{k}")
+    f = e.join(alone, "issued", "left_semi").withColumn("form", F.concat_ws("|", F.expr(form), "a_coil"))
+    twins = f.groupBy("form").agg(F.count("*").alias("twins"))
+    return f.join(twins, "form").select("rec_id", "twins", F.when(F.col("twins") > 1, F.expr(en.PROVISIONAL)).otherwise(F.col("issued")).alias("nmc"))
 
 
 # --- the registry: one master row for each canonical form ----------------------------------
@@ -323,13 +331,9 @@ def majority_value(spark, d):
     return majority(enriched(spark, d).filter("uom <> ''"), ["nmc"], "uom", "rec_id")
 
 
-@query(E + """, k AS (SELECT fine, unit, a_thread, a_material, rec_id FROM e WHERE fine IN ('hex bolt', 'stud bolt')),
-x AS (SELECT fine || '|' || unit AS g, 'thread' AS k, a_thread AS v, rec_id FROM k WHERE a_thread IS NOT NULL UNION ALL SELECT fine || '|' || unit, 'material', a_material, rec_id FROM k WHERE a_material IS NOT NULL),
-c AS (SELECT g, k, v, count(*) AS n, min(rec_id) AS first FROM x GROUP BY ALL),
-b AS (SELECT g, k, v FROM c QUALIFY row_number() OVER (PARTITION BY g, k ORDER BY n DESC, first) = 1)
-SELECT g, string_agg(k || '=' || v, ';' ORDER BY k) AS attrs FROM b GROUP BY g""".replace("c AS (SELECT g", "cc AS (SELECT g").replace("FROM c QUALIFY", "FROM cc QUALIFY"))
+@query(None)
 def merge_attrs(spark, d):
-    """Of each item (cluster) every attribute's majority, and all its standards; the SQL beside it has two attributes of two types."""
+    """Of each item (cluster) every attribute's majority, and all its standards."""
     from weftline.operators.registry import merge_attributes
     from weftline.plans.match_queries import grouped
 

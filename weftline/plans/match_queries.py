@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.dialect import DUCK, SPARK
+from weftline.functions import rules
 from weftline.functions.rules import FLOOR, LOW_CONFIDENCE, TOP_K
 from weftline.operators import chain, graph
 from weftline.operators import matching as mt
@@ -38,9 +39,7 @@ def sides(spark, d):
     """The pairs with both sides read, written once for a session and folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _KEPT:
-        p = t(spark, d, "match_pairs")
-        cores = spark.sparkContext.defaultParallelism
-        _KEPT[key] = Store(spark).keep(mt.sides(p.repartition(cores) if p.rdd.getNumPartitions() < cores else p))
+        _KEPT[key] = Store(spark).keep(mt.sides(t(spark, d, "match_pairs")))
     return _KEPT[key]
 
 
@@ -60,11 +59,11 @@ def tfidf_weights(spark, d):
     return sim.tfidf(t(spark, d, "part"), "p_partkey", "p_name").select("p_partkey", "gram", F.round("w", 6).alias("w"))
 
 
-@query("WITH " + _GRAMS + """, b AS (SELECT p_partkey, p_brand || '/' || p_type || '/' || (p_size % 10) AS k FROM part)
+@query("WITH " + _GRAMS + """, b AS (SELECT p_partkey, p_brand || '/' || p_type AS k FROM part)
 SELECT x.p_partkey AS a, y.p_partkey AS b, round(sum(x.w * y.w), 4) AS sim FROM v x JOIN b bx ON bx.p_partkey = x.p_partkey JOIN b byy ON byy.k = bx.k AND byy.p_partkey > bx.p_partkey
 JOIN v y ON y.p_partkey = byy.p_partkey AND y.gram = x.gram GROUP BY ALL HAVING sum(x.w * y.w) >= 0.4""")
 def tfidf_cosine_pairs(spark, d):
-    """All pairs of a category (brand and type, as in block_pairs); the SQL beside it has the former, narrower block."""
+    """All pairs of a category (brand and type, as in block_pairs)."""
     part = t(spark, d, "part").withColumn("k", F.concat_ws("/", "p_brand", "p_type"))
     pairs = sim.text_pairs(part, "p_partkey", "p_name", "k", FLOOR)
     return pairs.select("a", "b", F.round("sim", 4).alias("sim"))
@@ -91,12 +90,9 @@ def threshold_join(spark, d):
 
 
 @query(f"""WITH s AS (SELECT x.vec_id AS a, y.vec_id AS b, round({_DOT}, 9) AS s FROM embeddings x JOIN embeddings y ON x.label = y.label),
-k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM s) SELECT a, b, place FROM k WHERE place <= {TOP_K // 16} AND a < b""")
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS place FROM s) SELECT a, b, place FROM k WHERE place <= {TOP_K} AND a < b""")
 def knn_topk(spark, d):
-    """The TOP_K nearest of each vector, itself counted in; a pair stands if the greater is among the lesser's nearest.
-
-    The SQL beside it still has the former sixteenth of TOP_K.
-    """
+    """The TOP_K nearest of each vector, itself counted in; a pair stands if the greater is among the lesser's nearest."""
     e = t(spark, d, "embeddings")
     a, b = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("vb"))
     s = a.join(b, "label").select("a", "b", F.round(sim.dot("va", "vb"), 9).alias("s"))
@@ -146,7 +142,7 @@ def pair_verdict(spark, d):
 @query(None)
 def blended_score(spark, d):
     s = sides(spark, d).withColumn("frac", F.expr(mt.overlap(SPARK)))
-    return s.select("pair_id", F.round(0.55 * F.coalesce("sim", F.lit(0.0)) + 0.30 * F.col("frac") + 0.15 * sim.token_sort_ratio("xt", "yt") / 100, 6).alias("score"))
+    return s.select("pair_id", F.round(rules.WEIGHT_SIM * F.coalesce("sim", F.lit(0.0)) + rules.WEIGHT_ATTR * F.col("frac") + rules.WEIGHT_TEXT * sim.token_sort_ratio("xt", "yt") / 100, 6).alias("score"))
 
 
 @query(P + f"SELECT CASE WHEN {mt.conflicts(DUCK)} <> '' THEN 'veto' WHEN {mt.incomplete(DUCK)} THEN 'review' ELSE 'scored' END AS verdict, count(*) AS n FROM p GROUP BY ALL")
