@@ -186,20 +186,18 @@ class Lexicon:
                     return more.pop() if len(more) == 1 else None
         return " ".join(sorted(s))
 
-    def profile(self, words, found: dict[str, str], types: list[str], amounts: list[tuple], numbers: list[str]) -> tuple:
-        """(kind, type number, {attribute: value} of the kind's own, whole, (times, number, unit) or None, what it is sold by).
+    def profile(self, kind: str | None, words: str, found: dict[str, str], types: list[str], amounts: list[tuple], numbers: str) -> tuple:
+        """Of a record whose words name that kind: (kind, type number, {attribute: value} of the kind's own, whole, (times, number, unit) or None, what it is sold by).
 
         Of an item met too seldom to know its attributes, all that is stated counts, numbers of no known notation too.
         """
-        kind = self.kind(words)
         own = self.own.get(kind) if kind else ()
         content = self.content.get(kind) if kind else None
-        found, types, amounts = dict(found), list(types), list(amounts)
         unseen = own is None
         if unseen:
             bare = [a for a in amounts if a[3] == 1 and a[2] in catalogue._MM]
             amounts = [a for a in amounts if a not in bare]
-            rest = [*numbers, *(catalogue._scaled(a[1], catalogue._MM[a[2]]) + "mm" for a in bare)]
+            rest = [*numbers.split(), *(catalogue._scaled(a[1], catalogue._MM[a[2]]) + "mm" for a in bare)]
             if rest:
                 found["numbers"] = " ".join(sorted(set(rest)))
             own = tuple(sorted(found))
@@ -219,9 +217,9 @@ class Lexicon:
                         amounts.remove(a)
                         break
         # a container or "net" states a content of whatever item; a bare measure only of what is sold by it, or an unknown item's mass or volume
-        said = sorted((a for a in amounts if self._states(a, content, unseen)), key=lambda a: -a[3])
+        said = sorted((a for a in amounts if self._states(a, content, unseen)), key=lambda a: -a[3]) if amounts else ()
         attrs = {a: found[a] for a in own if a in found}
-        whole = kind is not None and len(attrs) == len(own) and (bool(types) or (unseen and "numbers" in found and len(words) + len(attrs) >= 3))
+        whole = kind is not None and len(attrs) == len(own) and (bool(types) or (unseen and "numbers" in found and len(words.split()) + len(attrs) >= 3))
         return kind, types[0] if types else None, attrs, whole, said[0][:3] if said else None, content
 
     @staticmethod

@@ -93,15 +93,15 @@ def least_count(records: int) -> float:
 def learn(read: DataFrame, counts: dict[str, int], records: int, store: Store, listing: str | None) -> lexicon.Lexicon:
     """The lexicon of kept features; listing: a column that is alike for deliveries of one item."""
     least = least_count(records)
-    ws, ks = F.filter(F.split("words", " "), lambda w: w != ""), F.filter(F.split("keys", " "), lambda k: (k != "") & (k != "type"))
-    # each word, each attribute, and each word beside each attribute of a record; "" stands for none
-    met = F.flatten(F.transform(F.concat(F.array(F.lit("")), ws), lambda w: F.transform(F.concat(F.array(F.lit("")), ks), lambda k: F.struct(w.alias("w"), k.alias("k")))))
-    beside = store.keep(read.select(F.inline(met)).groupBy("w", "k").agg(F.count("*").alias("n")))
-    seen = {r.w: r.n for r in _known(beside.filter("k = '' and w <> ''"), least)}
-    attributes = {r.k: r.n for r in beside.filter("w = '' and k <> ''").collect()}
-    known = F.broadcast(read.sparkSession.createDataFrame([(w,) for w in seen], "w string"))
-    pairs = {(r.w, r.k): r.n for r in beside.filter("k <> ''").join(known, "w").collect()}
-    idle = lexicon.idle_words(seen, pairs, attributes, max(records, 1))
+    # each word beside each set of attributes of its records; "" stands for any record
+    ws = F.concat(F.array(F.lit("")), F.filter(F.split("words", " "), lambda w: w != ""))
+    met = store.keep(read.select(F.explode(ws).alias("w"), "keys").groupBy("w", "keys").agg(F.count("*").alias("n")))
+    seen = {r.w: r.n for r in _known(met.filter("w <> ''").groupBy("w").agg(F.sum("n").alias("n")), least)}
+    known = F.broadcast(read.sparkSession.createDataFrame([(w,) for w in ["", *seen]], "w string"))
+    each = met.join(known, "w").select("w", F.explode(F.split("keys", " ")).alias("k"), "n").filter("k <> '' and k <> 'type'")
+    beside = {(r.w, r.k): r.n for r in each.groupBy("w", "k").agg(F.sum("n").alias("n")).collect()}
+    attributes = {k: n for (w, k), n in beside.items() if not w}
+    idle = lexicon.idle_words(seen, beside, attributes, max(records, 1))
     # a record's name: its words but for the idle ones
     name = F.array_join(F.array_except(F.split("words", " "), F.array(*map(F.lit, sorted(idle)))), " ") if idle else F.col("words")
     named = store.keep(read.select(name.alias("name"), "keys").filter("name <> ''").groupBy("name", "keys").agg(F.count("*").alias("n")))
@@ -164,13 +164,20 @@ def _own(kinds: dict[str, str], order: list[str], stated: list, some: list) -> t
 
 
 def _profiler(keep: list[str], lex: lexicon.Lexicon):
+    kinds: dict[str, str | None] = {}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for words, attrs, types, amounts, numbers, times, n, unit in zip(b["words"], b["attrs"], b["types"], b["amounts"], b["numbers"], b["times"], b["number"], b["unit"]):
                 found = dict(x.split("=", 1) for x in attrs.split(";")) if attrs else {}
                 said = [(t, x, u, int(r)) for t, x, u, r in (a.split("|") for a in amounts.split(";"))] if amounts else []
-                kind, number, own, whole, amount, content = lex.profile(words.split(), found, types.split(), said, numbers.split())
+                kind = kinds.get(words, "")
+                if kind == "":
+                    if len(kinds) > 200_000:
+                        kinds.clear()
+                    kind = kinds[words] = lex.kind(words.split())
+                kind, number, own, whole, amount, content = lex.profile(kind, words, found, types.split(), said, numbers)
                 if amount is not None:
                     times, n, unit = amount[0], amount[1], amount[2] or unit
                 rows.append((kind, number, ";".join(f"{k}={v}" for k, v in own.items()), whole, len(own), times, n, unit if n else None, amount is not None, content))

@@ -166,7 +166,9 @@ def learn_scales(stated: DataFrame, uoms: DataFrame, store: Store, least_votes:
     while True:
         j = linked.join(scales.select("source", "unit", "scale", F.col("dim").alias("d"), "how"), ["source", "unit"])
         # each entity's hub: its most frequent amount among the sources resolved so far
-        resolved = j.filter("scale is not null").select("entity", F.col("d").alias("dim"), F.round(F.col("q") * F.col("scale").cast("double"), 3).alias("a"), "n")
+        # only of entities that some open source speaks of
+        asked = j.filter("how = ''").select("entity").distinct()
+        resolved = j.filter("scale is not null").join(asked, "entity", "left_semi").select("entity", F.col("d").alias("dim"), F.round(F.col("q") * F.col("scale").cast("double"), 3).alias("a"), "n")
         hub = resolved.groupBy("entity", "dim", "a").agg(F.sum("n").alias("n")).groupBy("entity", "dim").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("hub"))
         point = j.filter("how = ''").join(hub, "entity").filter("want is null or want = dim").select("source", "unit", "dim", "entity", "q", "hub")
         points, count = store.measure(point.withColumn("source", F.explode(F.array(F.col("source"), F.lit(EVERYONE)))), n=F.count("*"))
