@@ -49,6 +49,8 @@ from weftline.session import Store
 LEAST_VOTES = 3
 #: A substitution is learnt from as many different characters at least, in runs of as many.
 LEAST_LETTERS, LEAST_RUN = 8, 4
+#: Two of its characters belong together if they are neighbours in the twins of as many keys.
+LEAST_MET = 2
 #: First bytes belong to one table if they meet in this share of the lesser's forms.
 MET = 0.05
 #: A standard codec completes a table if this share of what the twins show agrees with it.
@@ -210,14 +212,17 @@ def tables(under: dict[tuple[str, str], int], together: dict[tuple[str, str], in
         if a in up:
             own = out.setdefault(find(a), {}).setdefault(b[2:], {})
             own[int(b[:2], 16)] = own.get(int(b[:2], 16), 0) + n
-    return [Table(t) for t in (_completed(t) for _, t in sorted(out.items())) if t]
+    each = [x for _, t in sorted(out.items()) for x in _completed(t)]
+    each.sort(key=lambda x: -x[0])
+    # clusters of different scripts can show the same misreading
+    return [Table(t) for k, (_, t) in enumerate(each) if all(t != o for _, o in each[:k])]
 
 
-def _completed(chars: dict[str, dict[int, float]]) -> dict[str, dict[int, float]]:
-    """The table; empty if it is none (texts that differ in more than their encoding align by chance).  With the entries of the standard codecs that what is shown agrees with, by a small vote.
+def _completed(chars: dict[str, dict[int, float]]) -> list[tuple[float, dict[str, dict[int, float]]]]:
+    """(votes, table) of each misreading shown; none if it is chance (texts can differ in more than their encoding).  With the entries of the standard codecs that what is shown agrees with.
 
     Codecs that differ in a few bytes can have been used side by side: the one that explains most comes first, another
-    joins if it explains what is left, and most of the whole.
+    joins if it explains what is left, and most of the whole.  Of codecs that explain as much, the one nearest Latin-1.
     """
     # a character's bytes that are few beside its most frequent one align by chance
     chars = {c: {b: n for b, n in bs.items() if n >= CHANCE * max(bs.values())} for c, bs in chars.items()}
@@ -226,7 +231,7 @@ def _completed(chars: dict[str, dict[int, float]]) -> dict[str, dict[int, float]
     chosen: list[str] = []
     known = _codecs()
     while left:
-        best = max(known, key=lambda e: (sum(n for (b, c), n in left.items() if known[e][b] == c), sum(n for (b, c), n in shown.items() if known[e][b] == c), e == "cp1252"))
+        best = max(known, key=lambda e: (sum(n for (b, c), n in left.items() if known[e][b] == c), sum(n for (b, c), n in shown.items() if known[e][b] == c), sum(c == chr(b) for b, c in known[e].items())))
         gain = sum(n for (b, c), n in left.items() if known[best][b] == c)
         if gain < LEAST_VOTES or sum(n for (b, c), n in shown.items() if known[best][b] == c) < whole / 2:
             break
@@ -235,12 +240,10 @@ def _completed(chars: dict[str, dict[int, float]]) -> dict[str, dict[int, float]
     if sum(left.values()) > (1 - AGREES) * whole or len(shown) < LEAST_SHOWN:
         # of no standard codec: believed if enough is shown, and shows one byte for each character
         alike = sum(max(bs.values()) for bs in chars.values())
-        return chars if len(chars) >= LEAST_UNKNOWN and alike >= ALIKE * whole else {}
-    out = {c: dict(bs) for c, bs in chars.items()}
-    for e in chosen:
-        for b, c in known[e].items():
-            out.setdefault(c, {}).setdefault(b, 0.1)
-    return out
+        return [(whole, chars)] if len(chars) >= LEAST_UNKNOWN and alike >= ALIKE * whole else []
+    # each on its own: a run is read by one of them
+    votes = {e: sum(n for (b, c), n in shown.items() if known[e][b] == c) for e in chosen}
+    return [(votes[e], {c: {b: 1.0} for b, c in known[e].items()}) for e in chosen]
 
 
 def substitutions(neighbours: dict[tuple[str, str], int]) -> list[dict[str, str]]:
@@ -248,7 +251,7 @@ def substitutions(neighbours: dict[tuple[str, str], int]) -> list[dict[str, str]
     maps: dict[str, dict[str, str]] = {}
     of: dict[str, str] = {}
     for (a, b), n in sorted(neighbours.items(), key=lambda x: (-x[1], x[0])):
-        if n < LEAST_VOTES:
+        if n < LEAST_MET:
             break
         for x in (a, b):
             if x not in of:
@@ -282,7 +285,7 @@ def _completed_map(m: dict[str, str]) -> dict[str, str]:
                 if best is None or hits > best[0]:
                     best = (hits, whole)
     if best and best[0] >= AGREES * len(m):
-        return best[1] | m
+        return m | best[1]
     # letters that only change places among themselves are two sentences of one frame, not a misreading
     return m if len(m) >= LEAST_UNKNOWN and len(m.keys() & set(m.values())) < len(m) / 2 else {}
 
@@ -464,7 +467,7 @@ def learn(docs: DataFrame, store: Store) -> tuple[list[Table], list[tuple[int, .
     twin = store.keep(twin)
     pairs = store.keep(forms.join(twin, "key").filter("form <> twin").select("key", "form", "twin"))
     shown = pairs.withColumn("key", F.hash("key")).mapInPandas(_items, "what int, a string, b string, key int").distinct().groupBy("what", "a", "b").agg(F.count("*").alias("n"))
-    rows = _few(shown.filter(F.col("n") >= F.when(F.col("what") == 2, LEAST_VOTES).otherwise(1)))
+    rows = _few(shown.filter(F.col("n") >= F.when(F.col("what") == 2, LEAST_MET).otherwise(1)))
     shows = [{(r.a, r.b): r.n for r in rows if r.what == w} for w in range(3)]
     found = tables(shows[0], shows[1])
     swaps = substitutions(shows[2])
