@@ -28,6 +28,17 @@ def test_tfidf_pairs_of_the_whole_category(spark, folder, con):
     assert rows(spark, folder, "tfidf_cosine_pairs") == sorted(want)
 
 
+def test_blocks_are_counted_from_their_sizes(spark, tmp_path):
+    """A block of 200,000 parts has 2e10 pairs: only what is counted without listing them ends. Null brands are a block as in SQL."""
+    c = duckdb.connect()
+    c.execute(f"copy (select range as p_partkey, 'hot bolt' as p_name, CASE WHEN range % 1000 > 0 THEN 'B' || (range % 1000 // 998) END as p_brand, 'T' as p_type from range(200000)) to '{tmp_path}/part.parquet'")
+    c.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    want = c.execute(mq.ORACLE["block_pairs"]).fetchall()
+    assert len(want) == 3
+    key = lambda r: str(r[0])
+    assert sorted((tuple(r) for r in entry.queries()["block_pairs"](spark, str(tmp_path)).collect()), key=key) == sorted(want, key=key)
+
+
 def test_neighbours_up_to_the_full_bound(spark):
     folder = "/root/testdata/sf0.1"  # the labels of the smaller folders hold fewer vectors than TOP_K
     c = duckdb.connect()
