@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -97,6 +98,18 @@ def test_tfidf_has_unit_length_and_cosine(spark):
     assert list(pairs) == [(1, 2)] and pairs[1, 2] == pytest.approx(1.0)
 
 
+def test_tfidf_reads_each_text_once(spark, monkeypatch):
+    """A thousand keys of two texts: two texts are cut up; a key of two rows counts as one text, and one without weight in the sums is left out."""
+    read, grams = [], similarity.grams
+    monkeypatch.setattr(similarity, "grams", lambda df, *a: (read.append(df.count()), grams(df, *a))[1])
+    rows = [(i, "hex bolt" if i % 2 else "gear oil") for i in range(1000)]
+    w = similarity.tfidf(spark.createDataFrame([*rows, (1000, "hex bolt"), (1000, "nut")], "id long, t string"), "id", "t").collect()
+    assert read == [3]
+    assert len({r.id for r in w}) == 1001 and sum(r.w**2 for r in w) == pytest.approx(1001)
+    one = {r.gram: r.w for r in w if r.id == 1000}
+    assert one[" nu"] / one["hex"] == pytest.approx((math.log(1003 / 2) + 1) / (math.log(1003 / 502) + 1))
+
+
 def test_every_name_has_a_callable_and_sql_names_exist():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -39,14 +39,21 @@ def grams(df: DataFrame, key: str, text: str, low: int = 2, high: int = 4) -> Da
 
 
 def tfidf(df: DataFrame, key: str, text: str, times: str | None = None) -> DataFrame:
-    """(key, gram, w): sublinear term frequency, smoothed idf, unit length; a row counts `times` times in the idf."""
-    g = grams(df, key, text)
-    many = F.sum(times) if times else F.count("*")
-    total = df.filter(F.col(text).isNotNull()).agg(many.alias("total"))
-    df_ = (g.join(df.select(key, times), key) if times else g).groupBy("gram").agg(many.alias("df")).crossJoin(total)  # total has one row
-    raw = g.join(df_, "gram").select(key, "gram", ((1 + F.log("n")) * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1)).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(norm, key).select(key, "gram", (F.col("w") / F.col("len")).alias("w"))
+    """(key, gram, w): sublinear term frequency, smoothed idf, unit length; a row counts `times` times in the idf.
+
+    Keys with equal texts have equal weights: these are found once a text, and its keys take them over.
+    """
+    total = df.filter(F.col(text).isNotNull()).agg((F.sum(times) if times else F.count("*")).alias("total"))
+    # the rows of one key are one text: its words count together
+    count = F.coalesce(F.max(times), F.lit(0)) if times else F.lit(1)
+    bags = df.filter(F.col(text).isNotNull()).groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(text)), " ").alias("bag"), count.alias("times"))
+    texts = bags.groupBy("bag").agg(F.sum("times").alias("times"))
+    g = grams(texts, "bag", "bag")
+    df_ = g.join(texts, "bag").groupBy("gram").agg(F.sum("times").alias("df")).crossJoin(total)  # total has one row
+    raw = g.join(df_, "gram").select("bag", "gram", ((1 + F.log("n")) * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1)).alias("w"))
+    v = raw.groupBy("bag").agg(F.collect_list(F.struct("gram", "w")).alias("ws"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    each = bags.filter(F.col(key).isNotNull()).select(key, "bag").join(v, "bag").select(key, F.inline("ws"), "len")
+    return each.select(key, "gram", (F.col("w") / F.col("len")).alias("w"))
 
 
 def cosine_pairs(weights: DataFrame, blocks: DataFrame, key: str, block: str, floor: float) -> DataFrame:
