@@ -138,3 +138,17 @@ def test_unit_of_issue():
 def test_within_one():
     assert within_one("valve", "vavle") and within_one("valve", "vlve") and within_one("valve", "valvee") and within_one("valve", "velve")
     assert not within_one("valve", "vlavee")
+
+
+def test_a_listing_of_many_names_votes(spark):
+    """Twelve names of one listing vote for all their pairs, as its two do for theirs."""
+    from weftline.operators import profiles
+
+    order = [f"n{i:02d}" for i in range(12)]
+    rows = [(1, n) for n in order] + [(2, "n00"), (2, "n01"), (2, "n01"), (3, "n05"), (4, "unknown"), (None, "n00"), (None, "n01")]
+    table = spark.createDataFrame([(n, i) for i, n in enumerate(order)], "name string, i int")
+    read = spark.createDataFrame(rows, "listing long, words string")
+    got = profiles._votes(read, read["words"], "listing", table, order)
+    want = {(a, b): 1 for a in order for b in order if a < b} | {("n01", "n01"): 1}
+    want["n00", "n01"] = 2
+    assert got == want

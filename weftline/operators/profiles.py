@@ -22,8 +22,6 @@ from weftline.session import Store
 
 #: Known words that may reach the driver: far more than a share of 2e-4 leaves of texts of a few hundred words.
 MOST_KNOWN = 1_000_000
-#: A listing that calls its item by more names than this is not one item's, and casts no votes.
-MOST_NAMES = 8
 
 _FEATURES = "words string, attrs string, types string, amounts string, numbers string, keys string, times string, number string, unit string"
 _PROFILE = "kind string, type string, attrs string, whole boolean, parts int, times string, number string, unit string, stated boolean, content string"
@@ -127,12 +125,13 @@ def learn(read: DataFrame, counts: dict[str, int], records: int, store: Store, l
 def _votes(read: DataFrame, name, listing: str, table: DataFrame, order: list[str]) -> dict[tuple[str, str], int]:
     """In how many listings two known names, or one twice, stand for one item."""
     said = read.filter(F.col(listing).isNotNull()).select(F.xxhash64(listing).alias("l"), name.alias("name")).join(table, "name")
-    said = said.groupBy("l", "i").agg(F.count("*").alias("n"))
-    group = said.groupBy("l").agg(F.count("*").alias("names"), F.sum("n").alias("all"))
-    # at most MOST_NAMES names a row
-    group = said.join(group.filter((F.col("all") > 1) & (F.col("names") <= MOST_NAMES)).select("l"), "l").groupBy("l").agg(F.sort_array(F.collect_list(F.struct("i", "n"))).alias("s"))
-    pair = F.explode(F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: (a["i"] < b["i"]) | ((a["i"] == b["i"]) & (a["n"] > 1))), lambda b: F.struct(a["i"].alias("a"), b["i"].alias("b"))))))
-    got = group.select(pair.alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    said = said.groupBy("l", "i").agg((F.count("*") > 1).alias("more"))
+    # a row has known names only, which their share bounds; listings of the same names vote together
+    group = said.groupBy("l").agg(F.sort_array(F.collect_list(F.struct("i", "more"))).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    # one name's pairs at a time: a listing may have any number of names
+    each = group.select("n", "s", F.explode("s").alias("x"))
+    others = F.filter("s", lambda y: (F.col("x.i") < y["i"]) | ((F.col("x.i") == y["i"]) & F.col("x.more")))
+    got = each.select("n", "x", F.explode(others).alias("y")).groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.sum("n").alias("n"))
     return {(order[r.a], order[r.b]): r.n for r in got.collect()}
 
 
