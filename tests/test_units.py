@@ -85,6 +85,15 @@ def test_another_amount_of_the_same_goods_does_not_mislead(learnt):
     assert learnt[2]["zork"].scale == "1000"
 
 
+def test_every_pair_of_points_tells_the_slope(spark):
+    """Of twenty sources with five points each, all on a shifted line, none is missed by how its points happen to be paired."""
+    sources = [f"S{i:02d}" for i in range(20)]
+    said = [(s, 10 * i + k, "mass", u, float(q)) for i, s in enumerate(sources) for k, x in enumerate((2, 3, 5, 7, 11)) for u, q in (("kg", x + 2), ("grossk", x))]
+    stated = spark.createDataFrame(said, "source string, entity long, want string, unit string, q double")
+    got = {(r.source, r.unit): (r.how, r.scale) for r in units.learn_scales(stated, uoms(spark), Store(spark)).collect()}
+    assert got == {(s, u): v for s in sources for u, v in (("kg", ("anchor", "1000")), ("grossk", ("refused: offset", None)))}
+
+
 def test_empty(spark):
     assert contents(spark, []) == {}
 

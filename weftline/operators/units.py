@@ -4,10 +4,10 @@ Method: linkage and a source graph.  A source is an organisation's use of a unit
 descriptions and units of issue).  Records of the same entity (kind, type number and technical
 attributes, amount aside) link the sources: where one source says 12 and another, whose scale is
 known, says 144 g, the two are a point.  Through a source's points a line is laid, robustly: its
-slope is where the slopes between pairs of points gather, its offset where that gathers which the line
-leaves (as Theil and Sen, but by modes, since entities come in several amounts, and on disjoint pairs, so the
-work is in proportion to the points).  Points of a single quantity have only ratios, and no
-offset.  The slope is snapped to a known conversion; a source with an
+slope is the known conversion that most pairs of points lie on, its offset where that gathers which the line
+leaves (as Theil and Sen, but by modes, since entities come in several amounts; the pairs are
+counted by what each conversion leaves, not listed, so the work is in proportion to the points).  Points of a single
+quantity have only ratios, and no offset.  The ratio is snapped to a known conversion; a source with an
 offset measures something else (a gross weight, say) and gets no scale.  Sources resolved in
 one round serve the next, so scales spread through the graph, until a round finds none, from the anchors: the codes,
 names and aliases of the unit list.  All organisations' use of a spelling taken together is a source as well,
@@ -54,10 +54,12 @@ KNOWN = {
 TOLERANCE = 0.002
 #: A line is believed if this share of a source's points lies on it.
 SUPPORT = 0.25
-#: How often the points are paired anew.
+#: In how many pairs a point counts, so that a stray one among many that are alike tells no slope.
 PAIRINGS = 2
 #: Pairs of points from which on the slope between them is believed rather than the ratio.
 LEAST_PAIRS = 3
+#: Hubs closer than so many of the bins of what a line leaves tell no slope.
+APART = 10
 #: The source that stands for all organisations' use of a spelling.
 EVERYONE = "*"
 #: Accuracy of the medians: they are within one part in as many of the rank.
@@ -117,36 +119,59 @@ def _slips(a: str, b: str) -> int:
     return last[-1]
 
 
+def _halves(x, width):
+    """The two bins of that width, which overlap by halves, that hold x: an even and an odd number."""
+    return F.array(F.floor(x / width).cast("long") * 2, F.floor(x / width + 0.5).cast("long") * 2 - 1)
+
+
 def _mode(values: DataFrame, by: list[str], x, width) -> DataFrame:
-    """(by, mid, n): the mean of the fullest of the bins of that width, which overlap by halves, and what it holds."""
-    bins = values.withColumn("__x", x).withColumn("__b", F.explode(F.array(F.floor(F.col("__x") / width).cast("long") * 2, F.floor(F.col("__x") / width + 0.5).cast("long") * 2 - 1)))
-    full = bins.groupBy(*by, "__b").agg(F.count("*").alias("n"), F.avg("__x").alias("mid"))
+    """(by, mid, n): the mean of the fullest of the overlapping bins of that width, and what it holds; a row of values counts n times."""
+    bins = values.withColumn("__x", x).withColumn("__b", F.explode(_halves(F.col("__x"), width)))
+    full = bins.groupBy(*by, "__b").agg(F.sum("n").alias("n"), (F.sum(F.col("__x") * F.col("n")) / F.sum("n")).alias("mid"))
     return full.groupBy(*by).agg(F.max_by(F.struct("mid", "n"), F.struct("n", -F.abs("mid"))).alias("m")).select(*by, "m.mid", "m.n")
 
 
-def _lines(points: DataFrame, table: list) -> DataFrame:
+def _shifts(alike: DataFrame, by: list[str], table: list) -> DataFrame:
+    """(by, scale): the conversion on whose line most pairs of points lie, whatever its offset, if LEAST_PAIRS do.
+
+    Two points are on a line of slope c where hub - c q is the same, so the pairs need not be listed: each bin of that
+    difference is counted, and of its points the most that are of one hub, which tell no slope.
+    """
+    width = F.greatest(F.col("mid") * TOLERANCE, F.lit(1e-6))
+    each = alike.select(*by, "q", "hub", "n", "mid", F.explode(F.filter(F.array(*table), lambda c: c["dim"] == F.col("dim"))["scale"]).alias("scale"))
+    each = each.withColumn("bin", F.explode(_halves(F.col("hub") - F.col("q") * F.col("scale").cast("double"), width)))
+    each = each.withColumn("same", F.explode(_halves(F.col("hub"), width * APART)))
+    held = each.groupBy(*by, "scale", "bin", "same").agg(F.sum("n").alias("m")).groupBy(*by, "scale", "bin")
+    # a point is in one even bin
+    held = held.agg(F.sum(F.when(F.pmod("same", F.lit(2)) == 0, F.col("m"))).alias("n"), F.max("m").alias("most"))
+    pairs = held.withColumn("pairs", F.least("n", PAIRINGS * (F.col("n") - F.col("most")))).filter(F.col("pairs") >= LEAST_PAIRS)
+    return pairs.groupBy(*by).agg(F.max_by("scale", F.struct("pairs", "n", "scale")).alias("scale"))
+
+
+def _lines(points: DataFrame, table: list, store: Store) -> DataFrame:
     """(source, unit, dim, scale, votes, offset, mid, sloped, points) of the sources whose points (q, hub of dim) lie on a line that a conversion explains.
 
-    Many an entity comes in several amounts, so half of the points and more may be beside the line: what is looked for is the fullest bin of
-    the slopes and of what the line leaves, not their median.  Points are paired by hashes of their entities, within each source
+    Many an entity comes in several amounts, so half of the points and more may be beside the line: what is looked for is the conversion
+    that most pairs of points lie on and the fullest bin of what the line leaves, not a median.  Every point counts, with all others of its source
     and dimension.  All are aggregates with partial sums, so a source with a third of all points is no trouble.
     """
     by = ["source", "unit", "dim"]
     size = points.groupBy(*by).agg(F.count("*").alias("points"), F.percentile_approx("hub", 0.5, ACCURACY).alias("mid"))
-    seeds = F.explode(F.array(*map(F.lit, range(PAIRINGS)))).alias("seed")
-    paired = points.join(size.select(*by, "points"), by).select(*by, "q", "hub", "entity", "points", seeds).withColumn("bucket", F.pmod(F.xxhash64("seed", "entity"), F.greatest(F.lit(1), F.expr("points div 2"))))
-    ends = paired.groupBy(*by, "seed", "bucket").agg(F.min(F.struct("q", "hub")).alias("lo"), F.max(F.struct("q", "hub")).alias("hi")).filter("hi.q > lo.q * 1.001 and hi.hub > lo.hub")
-    slopes = _mode(ends, by, F.ln((F.col("hi.hub") - F.col("lo.hub")) / (F.col("hi.q") - F.col("lo.q"))), TOLERANCE).select(*by, F.col("mid").alias("slope"), F.col("n").alias("pairs"))
-    ratios = _mode(points, by, F.ln(F.col("hub") / F.col("q")), TOLERANCE).select(*by, F.col("mid").alias("ratio"))
-    fit = size.join(ratios, by).join(slopes, by, "left").withColumn("sloped", F.coalesce(F.col("pairs") >= LEAST_PAIRS, F.lit(False)))
-    fit = fit.withColumn("slope", F.exp(F.when(F.col("sloped"), F.col("slope")).otherwise(F.col("ratio"))))
-    snap = fit.withColumn("c", F.explode(F.array(*table))).filter((F.col("c.dim") == F.col("dim")) & (F.abs(F.col("slope") / F.col("c.scale").cast("double") - 1) < TOLERANCE))
-    snap = snap.select(*by, F.col("c.scale").alias("scale"), "mid", "sloped", "points")
-    left = points.join(snap, by).withColumn("d", F.col("hub") - F.col("q") * F.col("scale").cast("double"))
+    # amounts are repeated: what follows takes equal points together
+    alike = store.keep(points.groupBy(*by, "q", "hub").agg(F.count("*").alias("n")).join(size, by))
+    ratios = _mode(alike, by, F.ln(F.col("hub") / F.col("q")), TOLERANCE).select(*by, F.exp("mid").alias("ratio"))
+    fit = ratios.join(_shifts(alike, by, table), by, "left").withColumn("sloped", F.col("scale").isNotNull())
+    # points of one amount have only ratios
+    snapped = F.filter(F.array(*table), lambda c: (c["dim"] == F.col("dim")) & (F.abs(F.col("ratio") / c["scale"].cast("double") - 1) < TOLERANCE))
+    snap = fit.withColumn("scale", F.coalesce("scale", F.get(snapped, F.lit(0))["scale"])).filter("scale is not null").select(*by, "scale", "sloped")
+    # of the two, alike may be small as written and large as broadcast
+    left = alike.join(snap.hint("merge"), by).withColumn("d", F.col("hub") - F.col("q") * F.col("scale").cast("double"))
     offset = _mode(left, by, F.col("d"), F.greatest(F.col("mid") * TOLERANCE, F.lit(1e-6))).select(*by, F.when(F.abs("mid") < 0.01, 0.0).otherwise(F.col("mid")).alias("offset"))
-    on = left.join(offset, by).filter(F.abs(F.col("d") - F.col("offset")) <= TOLERANCE * F.abs("hub"))
+    lines = store.keep(snap.join(offset, by).join(size, by))
+    d = F.col("hub") - F.col("q") * F.col("scale").cast("double")
+    on = points.join(lines, by).filter(F.abs(d - F.col("offset")) <= TOLERANCE * F.abs("hub"))
     votes = on.groupBy(*by).agg(F.count_distinct("entity").alias("votes"), F.count("*").alias("on"))
-    return snap.join(offset, by).join(votes, by)
+    return lines.join(votes, by)
 
 
 def learn_scales(stated: DataFrame, uoms: DataFrame, store: Store, least_votes: int = 2) -> DataFrame:
@@ -174,7 +199,7 @@ def learn_scales(stated: DataFrame, uoms: DataFrame, store: Store, least_votes:
         points, count = store.measure(point.withColumn("source", F.explode(F.array(F.col("source"), F.lit(EVERYONE)))), n=F.count("*"))
         if not count["n"]:
             break
-        lines = store.keep(_lines(points, table).filter((F.col("votes") >= least_votes) & (F.col("on") >= SUPPORT * F.col("points"))))
+        lines = store.keep(_lines(points, table, store).filter((F.col("votes") >= least_votes) & (F.col("on") >= SUPPORT * F.col("points"))))
         store.drop(points)
         shifted = F.col("sloped") & (F.abs("offset") >= TOLERANCE * F.abs("mid"))
         best = lines.groupBy("source", "unit").agg(F.max_by(F.struct("dim", "scale", "votes", "offset"), F.when(~shifted, F.struct("on", "dim"))).alias("b"), F.min(shifted).alias("refused"))
