@@ -100,6 +100,34 @@ def test_records_that_differ_in_an_attribute_are_grouped(spark):
     assert got[2].status == "UNIQUE" and got[3].status == got[4].status == "PROVISIONAL" and got[3].nmc != got[4].nmc
 
 
+def test_a_large_group_is_repaired_without_listing_its_pairs(spark):
+    """A star of 30,000 agreeing texts (4.5e8 pairs) ends; groups that contradict are split as `graph.repair` splits them."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from weftline.operators import chain, graph, matching
+    from weftline.operators.enrich import KEYS
+    from weftline.functions.dialect import SPARK
+    from weftline.session import Store
+
+    rnd, store = random.Random(5), Store(spark)
+    texts = [(n, rnd.choice(["valve", "valve", "unknown"]), rnd.choice([None, "2", "2", "2,3", "3"]), rnd.choice([None, "150", "150", "150", "300"])) for n in range(60)]
+    edges = sorted({tuple(sorted(rnd.sample(range(k, k + 10), 2))) for k in range(0, 60, 10) for _ in range(14)})
+    big = [(n, "valve", "2", "150") for n in range(100, 30_100)]
+    blank = {f"a_{k}": F.lit(None).cast("string") for k in KEYS}
+    of = lambda rows: spark.createDataFrame(rows, "rep long, fine string, inch string, cl string").withColumns({"t": F.lit("x"), "times": F.lit(1), "category": F.lit("c"), **blank, "a_inch": F.col("inch"), "a_coil": F.col("cl")})
+    link = lambda es: spark.createDataFrame([(a, b, rnd.randrange(5) / 5, f"{a}|{b}") for a, b in es], "a long, b long, confidence double, edge_id string")
+    reps, links = of(texts + big), store.keep(link([*edges, *((100, n) for n in range(101, 30_100))]))
+    got = {r.node: r.label for r in chain.repaired(graph.components(links.select("a", "b"), store), links, reps, store).collect()}
+    assert all(got.pop(n) == 100 for n in range(100, 30_100))
+    few = links.filter("a < 100")
+    pairs = of(texts).select(F.col("rep").alias("p")).crossJoin(of(texts).select(F.col("rep").alias("q"))).filter("p < q")
+    vetoes = store.keep(chain.both_sides(pairs, of(texts))).filter(F.expr(matching.conflicts(SPARK)) != "").select(F.col("p").alias("a"), F.col("q").alias("b"))
+    assert got == {r.node: r.label for r in graph.repair(few, store.keep(vetoes), store).collect()}
+    assert len(set(got.values())) > 6
+
+
 def test_every_attribute_of_every_item_is_merged(spark, folder):
     from collections import Counter, defaultdict
 

@@ -6,6 +6,7 @@ Equal texts are read alike, so each is compared once: `rep` is the least rec_id
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from weftline.functions import harmonise as h
 from weftline.functions.dialect import SPARK
-from weftline.functions.rules import FLOOR, IDENTITY
+from weftline.functions.rules import FLOOR, IDENTITY, REPAIR_ROUNDS
 from weftline.operators import enrich as en
 from weftline.operators import graph
 from weftline.operators import matching as mt
@@ -111,6 +112,77 @@ def verdicts(reps: DataFrame, block: str, store: Store, matches_only: bool = Fal
     return df.select("pair_id.*", "verdict", "reason", "confidence")
 
 
+def contradicted(held: DataFrame) -> DataFrame:
+    """(label) of the groups (label, fine, category, a_*) that hold a contradiction of `matching.conflicts`, found without listing pairs.
+
+    Two members differ in an attribute if its least and its greatest value do; of sizes one's may hold the other's.
+    """
+    named = F.when(F.col("fine") != "unknown", F.col("fine"))
+    two = [F.coalesce(F.min(c) != F.max(c), F.lit(False)) for c in (named, F.col("category"), *(F.col(f"a_{k}") for k in en.KEYS if k != "inch"))]
+    g = held.groupBy("label").agg(reduce(lambda x, y: x | y, two).alias("differ"), F.collect_set("a_inch").alias("sizes"))
+    beyond = lambda x, y: F.size(F.array_except(F.split(x, ","), F.split(y, ","))) > 0
+    apart = F.exists("sizes", lambda x: F.exists("sizes", lambda y: beyond(x, y) & beyond(y, x)))
+    return g.filter(F.col("differ") | apart).select("label")
+
+
+def _contradict(said: list[dict]) -> bool:
+    """`contradicted` for the values of one group's members."""
+    for k in said[0]:
+        values = {x[k] for x in said if x[k] is not None and not (k == "fine" and x[k] == "unknown")}
+        if k != "a_inch" and len(values) > 1:
+            return True
+        if k == "a_inch" and len(values) > 1:
+            sizes = [frozenset(v.split(",")) for v in values]
+            if any(not (x <= y or y <= x) for x in sizes for y in sizes):
+                return True
+    return False
+
+
+def _mend(members: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """(node, label) of one contradictory group after `graph.repair`'s rounds."""
+    columns = [c for c in members.columns if c not in ("node", "label")]
+    said = {n: dict(zip(columns, (None if pd.isna(v) else v for v in values))) for n, *values in members[["node", *columns]].itertuples(index=False)}
+    edges = sorted(edges[["confidence", "edge_id", "a", "b"]].itertuples(index=False, name=None))
+    settled, open_ = [], [(list(said), edges)]
+    for _ in range(REPAIR_ROUNDS):
+        now = []
+        for nodes, es in open_:
+            if not _contradict([said[n] for n in nodes]):
+                settled.append(nodes)
+                continue
+            up = {n: n for n in nodes}
+
+            def find(x):
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            for _, _, x, y in es[1:]:
+                p, q = find(x), find(y)
+                up[max(p, q)] = min(p, q)
+            parts: dict = {}
+            for n in nodes:
+                parts.setdefault(find(n), ([], []))[0].append(n)
+            for e in es[1:]:
+                parts[find(e[2])][1].append(e)
+            now += parts.values()
+        open_ = now
+    rows = [(n, min(nodes)) for nodes in (*settled, *(nodes for nodes, _ in open_)) for n in nodes]
+    return pd.DataFrame(rows, columns=["node", "label"])
+
+
+def repaired(labels: DataFrame, links: DataFrame, reps: DataFrame, store: Store) -> DataFrame:
+    """(node, label): groups joined by links (a, b, confidence, edge_id), the weakest links of contradictory ones left out as by `graph.repair`.
+
+    Only contradictory groups are worked on, each whole in one task, all rounds at once.
+    """
+    held = store.keep(labels.join(reps.select(F.col("rep").alias("node"), "fine", "category", *(f"a_{k}" for k in en.KEYS)), "node"))
+    bad = store.keep(contradicted(held))
+    inside = links.join(labels.select(F.col("node").alias("a"), "label"), "a").join(bad, "label", "left_semi").select("label", "a", "b", "confidence", "edge_id")
+    mended = held.join(bad, "label", "left_semi").groupBy("label").cogroup(inside.groupBy("label")).applyInPandas(_mend, "node long, label long")
+    return labels.join(bad, "label", "left_anti").select("node", "label").unionByName(mended)
+
+
 def clusters(rows: DataFrame, store: Store) -> DataFrame:
     """(rec_id, cluster, confidence): matches joined into groups, the weakest links of contradictory ones left out.
 
@@ -121,9 +193,7 @@ def clusters(rows: DataFrame, store: Store) -> DataFrame:
     match = store.keep(match.select(F.col("p").alias("a"), F.col("q").alias("b"), "confidence", F.concat_ws("|", "p", "q").alias("edge_id")))
     links = match.filter("a < b")
     first = graph.components(links.select("a", "b"), store)
-    m = first.select(F.col("node").alias("p"), "label").join(first.select(F.col("node").alias("q"), "label"), "label").filter("p < q")
-    vetoes = store.keep(store.keep(both_sides(m.select("p", "q"), reps)).filter(F.expr(mt.conflicts(SPARK)) != "").select(F.col("p").alias("a"), F.col("q").alias("b")))
-    labels = store.keep(graph.repair(links, vetoes, store))
+    labels = store.keep(repaired(first, links, reps, store))
     whole = reps.filter("complete").select("t", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("t", "rep", F.coalesce("label", "rep").alias("cluster"))
     ends = match.join(whole.select(F.col("rep").alias("a"), "cluster"), "a").join(whole.select(F.col("rep").alias("b"), F.col("cluster").alias("other")), "b")
     weakest = ends.filter("cluster = other").groupBy("cluster").agg(F.min("confidence").alias("confidence"))
