@@ -101,7 +101,7 @@ def learn(read: DataFrame, counts: dict[str, int], records: int, store: Store, l
     attributes = {k: n for (w, k), n in beside.items() if not w}
     idle = lexicon.idle_words(seen, beside, attributes, max(records, 1))
     # a record's name: its words but for the idle ones
-    name = F.array_join(F.array_except(F.split("words", " "), F.array(*map(F.lit, sorted(idle)))), " ") if idle else F.col("words")
+    name = F.array_join(F.filter(F.split("words", " "), lambda w: ~w.isin(sorted(idle))), " ") if idle else F.col("words")
     named = store.keep(read.select(name.alias("name"), "keys").filter("name <> ''").groupBy("name", "keys").agg(F.count("*").alias("n")))
     names = {r.name: r.n for r in _known(named.groupBy("name").agg(F.sum("n").alias("n")), least)}
     if not names:
