@@ -147,3 +147,39 @@ def test_every_attribute_of_every_item_is_merged(spark, folder):
         want[g] = ";".join(f"{k}={best[k]}" for k in sorted(best))
     got = dict(rows(spark, folder, "merge_attrs"))
     assert got == want
+
+
+def _materials(spark, texts):
+    raw = [(i, 1, "AB"[i % 2], f"c{i}", t, "NOS", None, None, "5") for i, t in enumerate(texts)]
+    return spark.createDataFrame(raw, "rec_id long, file_id long, cpse string, material_code string, description string, uom string, category_hint string, hsn_code string, last_rate_inr string")
+
+
+def test_a_block_is_grouped_in_one_task_or_in_tiles_alike(spark, folder, monkeypatch):
+    """Groups of whole blocks equal those of tiles, and take few jobs, whose plans the driver holds."""
+    from weftline.operators import chain
+    from weftline.plans.catalogue_queries import enriched
+    from weftline.session import Store
+
+    e = enriched(spark, folder)
+    spark.sparkContext.setJobGroup("clusters", "")
+    want = sorted(tuple(r) for r in chain.masters(e, chain.clusters(e, Store(spark))).collect())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("clusters"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs <= 40
+    monkeypatch.setattr(chain, "WHOLE", 2)
+    assert sorted(tuple(r) for r in chain.masters(e, chain.clusters(e, Store(spark))).collect()) == want
+
+
+def test_ratios_of_many_pairs_equal_those_of_one():
+    import random
+
+    import numpy as np
+
+    from weftline.operators.similarity import indel_ratio, indel_ratios
+
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("abcde ø") for _ in range(n)) for n in (0, 0, 1, 5, 63, 64, 65, 70, 127, 128, 129, 150, 200)]
+    i, j = np.array([(a, b) for a in range(13) for b in range(13)]).T
+    assert indel_ratios(texts, i, j, 50).tolist() == [indel_ratio(texts[a], texts[b]) for a, b in zip(i, j)]
+
+

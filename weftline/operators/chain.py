@@ -6,26 +6,33 @@ Equal texts are read alike, so each is compared once: `rep` is the least rec_id
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions import harmonise as h
 from weftline.functions.dialect import SPARK
-from weftline.functions.rules import FLOOR, IDENTITY, REPAIR_ROUNDS
+from weftline.functions.rules import FLOOR, GOOD_SCORE, GOOD_SIM, HIGH_SIM, IDENTITY, LABELS, REPAIR_ROUNDS, SHARED_SIM, WEIGHT_ATTR, WEIGHT_SIM, WEIGHT_TEXT
 from weftline.operators import enrich as en
 from weftline.operators import graph
 from weftline.operators import matching as mt
 from weftline.operators import registry
-from weftline.operators.similarity import grams
+from weftline.operators.similarity import by_token, grams, indel_ratios
 from weftline.session import Store
 
 #: Texts of a block that are compared at once.
 TILE = 1024
+#: Records of a block up to which one task groups the whole of it.
+WHOLE = 8192
+_SAID = [f"a_{k}" for k in en.KEYS]
 
 
 def representatives(rows: DataFrame) -> DataFrame:
@@ -138,19 +145,16 @@ def _contradict(said: list[dict]) -> bool:
     return False
 
 
-def _mend(members: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """(node, label) of one contradictory group after `graph.repair`'s rounds."""
-    columns = [c for c in members.columns if c not in ("node", "label")]
-    said = {n: dict(zip(columns, (None if pd.isna(v) else v for v in values))) for n, *values in members[["node", *columns]].itertuples(index=False)}
-    edges = sorted(edges[["confidence", "edge_id", "a", "b"]].itertuples(index=False, name=None))
-    settled, open_ = [], [(list(said), edges)]
+def _split(said: dict, edges: list[tuple]) -> dict:
+    """{node: label} of one group after `graph.repair`'s rounds; said: what each node's text says, edges: (confidence, edge_id, a, b)."""
+    settled, open_ = [], [(list(said), sorted(edges))]
     for _ in range(REPAIR_ROUNDS):
         now = []
         for nodes, es in open_:
             if not _contradict([said[n] for n in nodes]):
                 settled.append(nodes)
                 continue
-            up = {n: n for n in nodes}
+            up, left = {n: n for n in nodes}, len(nodes)
 
             def find(x):
                 while up[x] != x:
@@ -159,7 +163,14 @@ def _mend(members: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
 
             for _, _, x, y in es[1:]:
                 p, q = find(x), find(y)
-                up[max(p, q)] = min(p, q)
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    left -= 1
+                    if left == 1:
+                        break
+            if left == 1:
+                now.append((nodes, es[1:]))
+                continue
             parts: dict = {}
             for n in nodes:
                 parts.setdefault(find(n), ([], []))[0].append(n)
@@ -167,8 +178,15 @@ def _mend(members: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
                 parts[find(e[2])][1].append(e)
             now += parts.values()
         open_ = now
-    rows = [(n, min(nodes)) for nodes in (*settled, *(nodes for nodes, _ in open_)) for n in nodes]
-    return pd.DataFrame(rows, columns=["node", "label"])
+    return {n: min(nodes) for nodes in (*settled, *(nodes for nodes, _ in open_)) for n in nodes}
+
+
+def _mend(members: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """(node, label) of one contradictory group, split."""
+    columns = [c for c in members.columns if c not in ("node", "label")]
+    said = {n: dict(zip(columns, (None if pd.isna(v) else v for v in values))) for n, *values in members[["node", *columns]].itertuples(index=False)}
+    rows = _split(said, list(edges[["confidence", "edge_id", "a", "b"]].itertuples(index=False, name=None)))
+    return pd.DataFrame(rows.items(), columns=["node", "label"])
 
 
 def repaired(labels: DataFrame, links: DataFrame, reps: DataFrame, store: Store) -> DataFrame:
@@ -183,22 +201,232 @@ def repaired(labels: DataFrame, links: DataFrame, reps: DataFrame, store: Store)
     return labels.join(bad, "label", "left_anti").select("node", "label").unionByName(mended)
 
 
+def _grams(word: str) -> list[str]:
+    w = f" {word} "
+    return [w[i : i + n] for n in range(2, min(4, len(w)) + 1) for i in range(len(w) - n + 1)]
+
+
+class _Words:
+    """Words and their grams by number, each word cut once."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        self.of: list[list[int]] = []
+
+    def ids(self, text: str) -> list[int]:
+        out = []
+        for w in text.split(" "):
+            if w:
+                k = self.words.get(w)
+                if k is None:
+                    k = self.words[w] = len(self.of)
+                    self.of.append([self.grams.setdefault(g, len(self.grams)) for g in _grams(w)])
+                out.append(k)
+        return out
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, gram, n), sorted, by numbers."""
+        ids = [self.ids(t) for t in texts]
+        flat = np.fromiter((k for x in ids for k in x), dtype=np.int64)
+        text = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        size = np.fromiter(map(len, self.of), dtype=np.int64, count=len(self.of))
+        all_ = np.fromiter((g for x in self.of for g in x), dtype=np.int64, count=int(size.sum()))
+        start, n = (np.cumsum(size) - size)[flat], size[flat]
+        at = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+        width = max(1, len(self.grams))
+        keys = np.sort(np.repeat(text, n) * width + all_[at])
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        return keys[first] // width, keys[first] % width, np.diff(np.append(first, len(keys)))
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(gram, df): of a partition's texts, how many hold each gram."""
+    words, df = _Words(), np.zeros(0, dtype=np.int64)
+    for pdf in batches:
+        _, gram, _ = words.counts(pdf["t"].tolist())
+        now = np.bincount(gram, minlength=len(words.grams))
+        now[: len(df)] += df
+        df = now
+    yield pd.DataFrame({"gram": list(words.grams), "df": df})
+
+
+def frequencies(rows: DataFrame) -> DataFrame:
+    """(gram, df) over the normalised texts t of all records, counted without a shuffle of every text's grams."""
+    return rows.select("t").mapInPandas(_counted, "gram string, df long").groupBy("gram").agg(F.sum("df").alias("df"))
+
+
+def _weights(texts: list[str], df: dict[str, int], total: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """For each text the places and weights of its grams, of unit length; and how many places there are."""
+    words = _Words()
+    text, gram, n = words.counts(texts)
+    idf = np.log((1 + total) / (1 + np.array([df[g] for g in words.grams], dtype=np.float64))) + 1
+    w = (1 + np.log(n)) * idf[gram]
+    w /= np.sqrt(np.bincount(text, w * w, len(texts)))[text]
+    ends = np.searchsorted(text, np.arange(1, len(texts)))
+    return list(zip(np.split(gram, ends), np.split(w, ends))), len(words.grams)
+
+
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
+    m = np.zeros((len(rows), width))
+    for i, (u, w) in enumerate(rows):
+        m[i, u] = w
+    return m
+
+
+class _Read:
+    """The attributes (in the order of KEYS) of some texts, ready to be compared with each other."""
+
+    def __init__(self, said: list[tuple]):
+        self.codes: dict[str, np.ndarray] = {}
+        self.fits = None
+        for k, values in zip(en.KEYS, zip(*said)):
+            places: dict = {v: n for n, v in enumerate(dict.fromkeys(v for v in values if v is not None))}
+            if places:
+                self.codes[k] = np.array([-1 if v is None else places[v] for v in values])
+                if k == "inch":
+                    sizes = [frozenset(v.split(",")) for v in places]
+                    self.fits = np.array([[x <= y or y <= x for y in sizes] for x in sizes])
+
+    def compared(self, i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Without contradiction, attributes both have, attributes either has; i and j as numpy broadcasts them."""
+        shape = np.broadcast_shapes(np.shape(i), np.shape(j))
+        fit, shared, known = np.ones(shape, dtype=bool), np.zeros(shape, dtype=np.int16), np.zeros(shape, dtype=np.int16)
+        for k, codes in self.codes.items():
+            x, y = codes[i], codes[j]
+            both = (x >= 0) & (y >= 0)
+            fit &= ~both | (self.fits[x, y] if k == "inch" else x == y)
+            shared += both
+            known += (x >= 0) | (y >= 0)
+        return fit, shared, known
+
+
+def _rounded(v: np.ndarray) -> np.ndarray:
+    """To four places as Spark's round does: half up, by the number's shortest decimal form."""
+    near = v * 1e4
+    out = np.floor(near + 0.5) / 1e4
+    for k in np.flatnonzero(np.abs(near - np.floor(near) - 0.5) < 1e-6):
+        out[k] = float(Decimal(repr(float(v[k]))).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+    return out
+
+
+def _matches(texts: list[str], said: list[tuple], df: dict[str, int], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, score), i < j: the complete texts of one type that match by `matching.verdicts`."""
+    rows, width = _weights(texts, df, total)
+    read, orders = _Read(said), [by_token(t) for t in texts]
+    got = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+    for low in range(0, len(texts), TILE // 4):
+        x = np.arange(low, min(low + TILE // 4, len(texts)))
+        left = _dense([rows[n] for n in x], width)
+        for first in range(low, len(texts), TILE):
+            y = np.arange(first, min(first + TILE, len(texts)))
+            fit = read.compared(x[:, None], y[None, :])[0] & (x[:, None] < y[None, :])
+            y, fit = y[fit.any(0)], fit[:, fit.any(0)]
+            if not len(y):
+                continue
+            s = left @ _dense([rows[n] for n in y], width).T
+            # every way to match asks for as much
+            i, j = np.nonzero(fit & (s >= max(FLOOR, min(GOOD_SIM, HIGH_SIM, SHARED_SIM))))
+            s, i, j = s[i, j], x[i], y[j]
+            _, shared, known = read.compared(i, j)
+            score = WEIGHT_SIM * s + WEIGHT_ATTR * np.where(known == 0, 0.0, shared / np.maximum(known, 1))
+            sure = (s >= HIGH_SIM) | ((s >= SHARED_SIM) & (shared > 0))
+            able = sure | (score + WEIGHT_TEXT * 1.001 >= GOOD_SCORE)
+            i, j, s, score, sure = i[able], j[able], s[able], score[able], sure[able]
+            score = score + WEIGHT_TEXT * indel_ratios(orders, i, j) / 100
+            ok = sure | ((score >= GOOD_SCORE) & (s >= GOOD_SIM))
+            got.append((i[ok], j[ok], score[ok]))
+    return tuple(np.concatenate(c) for c in zip(*got))
+
+
+def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least member of each node's component."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _grouped(key: tuple, records: pa.Table, counted: pa.Table) -> pa.Table:
+    """(rec_id, cluster, confidence) of one whole block: matches, groups and their repair."""
+    ids, texts = records["rec_id"].to_pylist(), records["t"].to_pylist()
+    rep_of, times, values = {}, Counter(texts), {}
+    for r, t, v in zip(ids, texts, records["said"].to_pylist()):
+        rep_of[t] = min(r, rep_of.get(t, r))
+        values[t] = tuple(v)
+    each = sorted(rep_of, key=lambda t: (tuple(v or "" for v in values[t]), rep_of[t]))  # like attributes together
+    df = dict(zip(counted["gram"].to_pylist(), counted["df"].to_pylist()))
+    total = counted["total"][0].as_py() if len(counted) else 0
+    i, j, score = _matches(each, [values[t] for t in each], df, total)
+    # from here on nodes are in the order of rep
+    rep = np.array([rep_of[t] for t in each], dtype=np.int64)
+    order = np.argsort(rep)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    rep, each, i, j, sure = rep[order], [each[n] for n in order], place[i], place[j], _rounded(score)
+    i, j = np.minimum(i, j), np.maximum(i, j)
+    label = _joined(len(rep), i, j)
+    groups: dict[int, list[int]] = {}
+    for n, g in enumerate(label.tolist()):
+        groups.setdefault(g, []).append(n)
+    for g, members in groups.items():
+        said = {n: values[each[n]] for n in members}
+        if len(differ := set(said.values())) > 1 and _contradict([dict(zip(_SAID, v)) for v in differ]):
+            edges = [(c, f"{rep[a]}|{rep[b]}", a, b) for c, a, b in zip(*(x[label[i] == g].tolist() for x in (sure, i, j)))]
+            for n, least in _split({n: dict(zip(_SAID, v)) for n, v in said.items()}, edges).items():
+                label[n] = least
+    weakest = np.full(len(rep), np.inf)
+    kept = label[i] == label[j]
+    np.minimum.at(weakest, label[i[kept]], sure[kept])
+    np.minimum.at(weakest, label[[times[t] > 1 for t in each]], 1.0)  # a repeated text matches itself
+    of = {t: label[n] for n, t in enumerate(each)}
+    at = np.array([of[t] for t in texts], dtype=np.int64)
+    return pa.table({"rec_id": pa.array(ids, pa.int64()), "cluster": pa.array(rep[at]), "confidence": pa.array(weakest[at], mask=weakest[at] == np.inf)})
+
+
 def clusters(rows: DataFrame, store: Store) -> DataFrame:
     """(rec_id, cluster, confidence): matches joined into groups, the weakest links of contradictory ones left out.
 
-    `cluster` is the least rec_id; confidence is the weakest accepted link, null for a record alone.
+    `cluster` is the least rec_id; confidence is the weakest accepted link, null for a record alone.  Records whose
+    text is incomplete are never merged, however alike.  A match stays within its block, and so does all that follows
+    from it: each block is grouped in one task, but those of more than WHOLE records in tiles of many tasks.
     """
-    reps = store.keep(representatives(rows).withColumn("block", identity_block()))
+    rec = store.keep(rows.filter("complete").withColumn("block", identity_block()).select("block", "rec_id", "t", *_SAID))
+    hot = store.keep(rec.groupBy("block").count().filter(F.col("count") > WHOLE).select("block"))
+    some = not hot.isEmpty()
+    small = rec.join(hot, "block", "left_anti") if some else rec
+    word = small.select(F.col("block").alias("of"), F.explode(F.array_distinct(F.split("t", " "))).alias("w")).filter("w <> ''").distinct().withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
+    gram = F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.lit(4), F.length("w"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring("w", i, n))))
+    total = rows.agg(F.count("*").alias("total"))
+    counted = word.select("of", F.explode(gram).alias("gram")).distinct().join(frequencies(rows), "gram").crossJoin(total)  # total has one row
+    read = small.select("block", "rec_id", "t", F.array(*_SAID).alias("said"))
+    got = read.groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(_grouped, "rec_id long, cluster long, confidence double")
+    if some:
+        got = got.unionByName(_hot_clusters(rows, rec.join(hot, "block", "left_semi"), store))
+    return got.unionByName(rows.filter("not complete").select("rec_id", F.col("rec_id").alias("cluster"), F.lit(None).cast("double").alias("confidence")))
+
+
+def _hot_clusters(rows: DataFrame, hot: DataFrame, store: Store) -> DataFrame:
+    """(rec_id, cluster, confidence) of the records of large blocks, compared in tiles of many tasks; idf over all rows."""
+    blocks = hot.select("t", "block").distinct()
+    reps = store.keep(representatives(rows).join(blocks, "t", "left"))
     match = verdicts(reps, "block", store, True).filter("verdict = 'match'")
     match = store.keep(match.select(F.col("p").alias("a"), F.col("q").alias("b"), "confidence", F.concat_ws("|", "p", "q").alias("edge_id")))
     links = match.filter("a < b")
     first = graph.components(links.select("a", "b"), store)
     labels = store.keep(repaired(first, links, reps, store))
-    whole = reps.filter("complete").select("t", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("t", "rep", F.coalesce("label", "rep").alias("cluster"))
+    whole = reps.filter("block is not null").select("t", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("t", "rep", F.coalesce("label", "rep").alias("cluster"))
     ends = match.join(whole.select(F.col("rep").alias("a"), "cluster"), "a").join(whole.select(F.col("rep").alias("b"), F.col("cluster").alias("other")), "b")
     weakest = ends.filter("cluster = other").groupBy("cluster").agg(F.min("confidence").alias("confidence"))
-    # records whose text is incomplete are never merged, however alike
-    return rows.select("rec_id", "t").join(whole.select("t", "cluster"), "t", "left").select("rec_id", F.coalesce("cluster", "rec_id").alias("cluster")).join(weakest, "cluster", "left").select("rec_id", "cluster", "confidence")
+    return hot.select("rec_id", "t").join(whole.select("t", "cluster"), "t").join(weakest, "cluster", "left").select("rec_id", "cluster", "confidence")
 
 
 @F.udf(T.ArrayType(T.StringType()))
@@ -213,12 +441,17 @@ def _issued(nmc: str, canons: list[str]) -> list[str]:
     return taken
 
 
+#: A record's own standards as merged ones are written.
+_STD = "array_join(array_sort(array_distinct(split(a_std, ','))), ',')"
+
+
 def masters(rows: DataFrame, grouped: DataFrame) -> DataFrame:
-    """One row for each cluster of `grouped`: its merged attributes in the canonical form, code, holders, prices and status.
+    """One row for each cluster of `clusters`: its merged attributes in the canonical form, code, holders, prices and status.
 
     Records alone whose forms are equal but for `std` can't be told apart: they get provisional codes.
+    An incomplete record is always a cluster of its own: what is said of it needs no join.
     """
-    e = rows.join(grouped, "rec_id")
+    e = rows.filter("complete").join(grouped, "rec_id")
     kept = registry.merged_values(e, "cluster", en.KEYS, "rec_id", ("std",))
     attrs = kept.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("k", "value"))).alias("m"))
     unit = registry.majority(e, ["cluster"], "unit", "rec_id").select("cluster", F.col("value").alias("unit"))
@@ -226,18 +459,32 @@ def masters(rows: DataFrame, grouped: DataFrame) -> DataFrame:
         F.min_by("fine", "rec_id").alias("fine"), F.min_by("category", "rec_id").alias("category"), F.count("*").alias("members"), F.count_distinct("org").alias("n_orgs"),
         F.array_join(F.array_sort(F.collect_set("org")), ",").alias("orgs"), F.round(F.avg("price"), 6).alias("avg_price"), F.min("price").alias("low"), F.max("price").alias("high"),
         F.bool_and("complete").alias("settled"), F.first("confidence").alias("confidence"), F.min_by(F.concat("org", F.lit("-"), "code"), "rec_id").alias("listing"))
-    m = m.join(attrs, "cluster", "left").join(unit, "cluster", "left").select("*", *(F.col("m")[k].alias(f"a_{k}") for k in en.KEYS))
-    unseen = lambda k: "cast(NULL AS STRING)" if k == "std" else f"a_{k}"
-    m = m.withColumns({"canon": F.expr(h.canonical(SPARK, "fine", "unit", en.col())), "form": F.concat_ws("|", F.expr(h.canonical(SPARK, "fine", "unit", unseen)), "a_coil")})
-    m = m.withColumn("standard", F.expr(h.description(SPARK, "fine", "unit", en.col()))).withColumn("nmc", F.expr(h.code(SPARK, "canon")))
-    alone = m.filter("members = 1").groupBy("form").agg(F.count("*").alias("twins"))
-    m = m.join(alone, "form", "left").withColumn("twin", (F.col("members") == 1) & (F.col("twins") > 1)).drop("m", "form", "twins")
-    own = m.filter("not twin").groupBy("nmc").agg(F.array_sort(F.collect_list(F.struct((F.col("members") == 1).alias("single"), "cluster", "canon"))).alias("g"))
+    m = m.join(attrs, "cluster", "left").join(unit, "cluster", "left").select("*", *(F.col("m")[k].alias(f"a_{k}") for k in en.KEYS)).drop("m")
+    m = m.withColumn("canon", F.expr(h.canonical(SPARK, "fine", "unit", en.col())))
+    own = {"members": F.lit(1).cast("long"), "n_orgs": F.when(F.col("org").isNull(), 0).otherwise(1).cast("long"), "orgs": F.coalesce("org", F.lit("")), "avg_price": F.round("price", 6), "low": F.col("price"), "high": F.col("price"), "settled": F.lit(False), "confidence": F.lit(None).cast("double"), "listing": F.concat("org", F.lit("-"), "code"), "a_std": F.expr(_STD)}
+    m = m.unionByName(rows.filter("not complete").select(F.col("rec_id").alias("cluster"), "fine", "category", *(c.alias(n) for n, c in own.items()), "unit", *(k for k in _SAID if k != "a_std"), "canon"))
+    # std is the last part of the canonical form
+    form = f"CASE WHEN a_std IS NULL THEN canon ELSE left(canon, length(canon) - length('|{LABELS['std']}=' || {h.shown(SPARK, 'std', 'a_std')})) END"
+    m = m.withColumns({"form": F.concat_ws("|", F.expr(form), "a_coil"), "nmc": F.expr(h.code(SPARK, "canon")), "standard": F.expr(h.description(SPARK, "fine", "unit", en.col()))}).drop(*_SAID)
+    m = Store(rows.sparkSession).keep(m)
+    alone = m.filter("members = 1").groupBy("form").agg(F.count("*").alias("twins")).filter("twins > 1")
+    # told apart on few columns
+    said = m.select("cluster", "members", "form", "nmc", "canon").join(alone, "form", "left").withColumn("twin", (F.col("members") == 1) & F.col("twins").isNotNull())
+    issued = said.filter("not twin").groupBy("nmc").agg(F.array_sort(F.collect_list(F.struct((F.col("members") == 1).alias("single"), "cluster", "canon"))).alias("g"))
     # groups of several come before records alone
     codes = F.when(F.size("g") == 1, F.array("nmc")).otherwise(_issued("nmc", F.col("g.canon")))
-    own = own.select(F.explode(F.arrays_zip(F.col("g.cluster").alias("cluster"), codes.alias("code")))).select("col.cluster", "col.code")
-    m = m.join(own, "cluster", "left")
+    issued = issued.select(F.explode(F.arrays_zip(F.col("g.cluster").alias("cluster"), codes.alias("code")))).select("col.cluster", "col.code")
+    m = m.join(issued, "cluster", "left")
+    twin = F.col("code").isNull()  # all others have a code
     given = F.concat(F.lit("PROVISIONAL-"), F.substring(F.regexp_replace(F.upper("fine"), " ", "-"), 1, 14), F.lit("-"), "listing")
-    status = F.when(F.col("twin"), "PROVISIONAL").when(~F.col("settled"), "NEEDS_REVIEW").when(F.col("members") > 1, "AUTO_MATCHED").otherwise("UNIQUE")
-    sure = F.when(F.col("members") == 1, F.when(F.col("twin"), 0.5).otherwise(1.0)).otherwise(F.coalesce("confidence", F.lit(0.5)))
+    status = F.when(twin, "PROVISIONAL").when(~F.col("settled"), "NEEDS_REVIEW").when(F.col("members") > 1, "AUTO_MATCHED").otherwise("UNIQUE")
+    sure = F.when(F.col("members") == 1, F.when(twin, 0.5).otherwise(1.0)).otherwise(F.coalesce("confidence", F.lit(0.5)))
     return m.select("cluster", F.coalesce("code", given).alias("nmc"), "canon", "standard", "category", "fine", "unit", "members", "n_orgs", "orgs", "avg_price", "low", "high", sure.alias("confidence"), status.alias("status"))
+
+
+def merged(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(g, attrs) of each cluster of `clusters` that has attributes: their majority, and all standards; of an incomplete record its own."""
+    e = rows.filter("complete").join(grouped, "rec_id").withColumn("g", F.col("cluster").cast("string"))
+    several = registry.merge_attributes(e, "g", en.KEYS, "rec_id", ("std",))
+    own = F.expr(h.pairs_text(SPARK, {k: _STD if k == "std" else f"a_{k}" for k in en.KEYS}))
+    return several.unionByName(rows.filter("not complete").select(F.col("rec_id").cast("string").alias("g"), own.alias("attrs")).filter("attrs <> ''"))
