@@ -406,7 +406,7 @@ def clusters(rows: DataFrame, store: Store) -> DataFrame:
     word = small.select(F.col("block").alias("of"), F.explode(F.array_distinct(F.split("t", " "))).alias("w")).filter("w <> ''").distinct().withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
     gram = F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.lit(4), F.length("w"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring("w", i, n))))
     total = rows.agg(F.count("*").alias("total"))
-    counted = word.select("of", F.explode(gram).alias("gram")).distinct().join(frequencies(rows), "gram").crossJoin(total)  # total has one row
+    counted = word.select("of", F.explode(gram).alias("gram")).distinct().join(frequencies(rows), "gram").crossJoin(F.broadcast(total))  # one row
     read = small.select("block", "rec_id", "t", F.array(*_SAID).alias("said"))
     got = read.groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(_grouped, "rec_id long, cluster long, confidence double")
     if some:

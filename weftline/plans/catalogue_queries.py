@@ -334,11 +334,10 @@ def majority_value(spark, d):
 @query(None)
 def merge_attrs(spark, d):
     """Of each item (cluster) every attribute's majority, and all its standards."""
-    from weftline.operators.registry import merge_attributes
+    from weftline.operators.chain import merged
     from weftline.plans.match_queries import grouped
 
-    e = enriched(spark, d).join(grouped(spark, d), "rec_id").withColumn("g", F.col("cluster").cast("string"))
-    return merge_attributes(e, "g", en.KEYS, "rec_id", ("std",))
+    return merged(enriched(spark, d), grouped(spark, d))
 
 
 # --- views on the registry -------------------------------------------------------------------
