@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,6 +125,166 @@ def text_pairs(df: DataFrame, key: str, text: str, block: str, floor: float) ->
     return each.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "sim")
 
 
+def _grams(word: str) -> list[str]:
+    w = f" {word} "
+    return [w[i : i + n] for n in range(2, min(4, len(w)) + 1) for i in range(len(w) - n + 1)]
+
+
+class _Words:
+    """Words and their grams by number, each word cut once."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        self.of: list[list[int]] = []
+
+    def ids(self, text: str) -> list[int]:
+        out = []
+        for w in text.split(" "):
+            if w:
+                k = self.words.get(w)
+                if k is None:
+                    k = self.words[w] = len(self.of)
+                    self.of.append([self.grams.setdefault(g, len(self.grams)) for g in _grams(w)])
+                out.append(k)
+        return out
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, gram, n), sorted, by numbers."""
+        ids = [self.ids(t) for t in texts]
+        flat = np.fromiter((k for x in ids for k in x), dtype=np.int64)
+        text = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        size = np.fromiter(map(len, self.of), dtype=np.int64, count=len(self.of))
+        all_ = np.fromiter((g for x in self.of for g in x), dtype=np.int64, count=int(size.sum()))
+        start, n = (np.cumsum(size) - size)[flat], size[flat]
+        at = np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+        width = max(1, len(self.grams))
+        keys = np.sort(np.repeat(text, n) * width + all_[at])
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        return keys[first] // width, keys[first] % width, np.diff(np.append(first, len(keys)))
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(gram, df): of a partition's texts, how many hold each gram."""
+    words, df = _Words(), np.zeros(0, dtype=np.int64)
+    for pdf in batches:
+        text, gram, _ = words.counts(pdf["t"].tolist())
+        now = np.bincount(gram, pdf["times"].to_numpy()[text] if "times" in pdf else None, minlength=len(words.grams)).astype(np.int64)
+        now[: len(df)] += df
+        df = now
+    yield pd.DataFrame({"gram": list(words.grams), "df": df})
+
+
+def frequencies(rows: DataFrame, *times: str) -> DataFrame:
+    """(gram, df) over the normalised texts t of all records, counted without a shuffle of every text's grams; a row may stand for `times` records."""
+    return rows.select("t", *(F.col(c).alias("times") for c in times)).mapInPandas(_counted, "gram string, df long").groupBy("gram").agg(F.sum("df").alias("df"))
+
+
+def _weights(texts: list[str], df: dict[str, int], total: int, words: _Words | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """For each text the places and weights of its grams, of unit length; and how many places there are."""
+    words = words or _Words()
+    text, gram, n = words.counts(texts)
+    idf = np.log((1 + total) / (1 + np.array([df[g] for g in words.grams], dtype=np.float64))) + 1
+    w = (1 + np.log(n)) * idf[gram]
+    w /= np.sqrt(np.bincount(text, w * w, len(texts)))[text]
+    ends = np.searchsorted(text, np.arange(1, len(texts)))
+    return list(zip(np.split(gram, ends), np.split(w, ends))), len(words.grams)
+
+
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
+    m = np.zeros((len(rows), width))
+    for i, (u, w) in enumerate(rows):
+        m[i, u] = w
+    return m
+
+
+def _rounded(v: np.ndarray, places: int = 4) -> np.ndarray:
+    """To so many places as Spark's round does: half up, by the number's shortest decimal form."""
+    near = v * 10**places
+    out = np.floor(near + 0.5) / 10**places
+    for k in np.flatnonzero(np.abs(near - np.floor(near) - 0.5) < 1e-6):
+        out[k] = float(Decimal(repr(float(v[k]))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+    return out
+
+
+#: Texts that are compared at once.
+LEFT, RIGHT = 256, 1024
+
+
+def compared(rows: DataFrame, frequencies: DataFrame, total: DataFrame, group: int):
+    """rows (block, id, t, ...) grouped so that each two of a block meet in one task: whole blocks, those of more than `group` rows two groups at a time.
+
+    Each group holds its texts' grams too, with df and total; `read_tile` and `text_weights` read what a task gets.
+    """
+    large = rows.groupBy("block").agg(F.ceil(F.count("*") / group).alias("groups")).filter("groups > 1")  # at most a row for each `group` rows
+    rows = rows.join(F.broadcast(large), "block", "left").withColumn("groups", F.coalesce("groups", F.lit(1).cast("long")))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("id"), "groups"))
+    at = ["block", "groups", "g"]
+    word = rows.select(*at, F.explode(F.array_distinct(F.split("t", " "))).alias("w")).filter("w <> ''").distinct().withColumn("w", F.concat(F.lit(" "), "w", F.lit(" ")))
+    gram = F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.lit(4), F.length("w"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring("w", i, n))))
+    counted = word.select(*at, F.explode(gram).alias("gram")).distinct().join(frequencies, "gram").crossJoin(F.broadcast(total))  # one row
+    both = rows.unionByName(counted, allowMissingColumns=True)
+    both = both.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    return both.withColumns({"low": F.least("g", "other"), "high": F.greatest("g", "other")}).drop("groups", "other").groupBy("block", "low", "high")
+
+
+def read_tile(key: tuple, batches) -> tuple[pa.Table, np.ndarray, np.ndarray | None]:
+    """(what a task of `compared` gets, places of the rows of one group, of the other or None if there is one only)."""
+    t = pa.Table.from_batches(list(batches))
+    t = pa.concat_tables([t.filter(pc.is_valid(t["id"])), t.filter(pc.is_null(t["id"]))])
+    low, high = key[1].as_py(), key[2].as_py()
+    n = len(t) - t["id"].null_count
+    g, texts = t["g"].to_numpy()[:n], t["t"][:n].to_pylist()
+    # like texts together, which have fewer grams
+    order = np.array(sorted(range(n), key=texts.__getitem__), dtype=np.int64)
+    return t, order[g[order] == low], None if low == high else order[g[order] == high]
+
+
+def text_weights(rows: pa.Table, tile: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row the numbers and weights of its text's grams, of unit length."""
+    counted = tile.filter(pc.is_valid(tile["gram"])).select(["gram", "df", "total"])
+    df, total = dict(zip(counted["gram"].to_pylist(), counted["df"].to_pylist())), counted["total"][0].as_py() if len(counted) else 0
+    words, out, texts = _Words(), [], rows["t"].to_pylist()
+    for low in range(0, len(texts), 4096):  # as many at once as memory allows
+        got, _ = _weights(texts[low : low + 4096], df, total, words)
+        u, w = np.concatenate([u for u, _ in got]).astype(np.int32), np.concatenate([w for _, w in got])
+        ends = np.cumsum([len(u) for u, _ in got])[:-1]
+        out += zip(np.split(u, ends), np.split(w, ends))
+    return out
+
+
+def near(weights: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, y: np.ndarray | None, floor: float):
+    """(i, j, similarity) of the texts of x and y, or of each two of x, from the floor on; some tiles at a time."""
+    width = 1 + max((int(u.max()) for u, _ in weights if len(u)), default=0)
+    place = np.full(width, -1)
+    for low in range(0, len(x), LEFT):
+        a = x[low : low + LEFT]
+        own = np.unique(np.concatenate([weights[n][0] for n in a]))
+        place[own] = np.arange(len(own))
+        left = _placed([weights[n] for n in a], place, len(own))
+        b_all = x[low:] if y is None else y
+        for first in range(0, len(b_all), RIGHT):
+            b = b_all[first : first + RIGHT]
+            s = left @ _placed([weights[n] for n in b], place, len(own)).T
+            i, j = np.nonzero(s >= floor)
+            if y is None:
+                k = i < j + first
+                i, j = i[k], j[k]
+            if len(i):
+                yield a[i], b[j], s[i, j]
+        place[own] = -1
+
+
+def _placed(rows: list[tuple[np.ndarray, np.ndarray]], place: np.ndarray, width: int) -> np.ndarray:
+    """The rows' weights at the places of their grams; those without a place meet none."""
+    m = np.zeros((len(rows), width))
+    k = np.repeat(np.arange(len(rows)), [len(u) for u, _ in rows])
+    at, w = place[np.concatenate([u for u, _ in rows])], np.concatenate([w for _, w in rows])
+    has = at >= 0
+    m[k[has], at[has]] = w[has]
+    return m
+
+
 def dot(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
