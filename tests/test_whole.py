@@ -221,3 +221,19 @@ def test_verdicts_are_judged_where_texts_are_compared(spark, folder, monkeypatch
     monkeypatch.setattr(chain, "GROUP", 40)
     assert sorted(tuple(r) for r in chain.verdicts(reps, "category", store).collect()) == want
     assert all(df.count() <= reps.count() for df in kept)
+
+
+def test_text_pairs_of_odd_parts(spark, tmp_path, monkeypatch):
+    """Parts without brand, type or name have no pair but count in the idf, as in SQL; large categories are listed in groups alike."""
+    from weftline.operators import similarity
+
+    c = duckdb.connect()
+    c.execute(f"""copy (select range as p_partkey, CASE WHEN range % 7 > 0 THEN 'hot galvanised steel bolt ' || ['red', 'blue', 'gilded copper anodised', 'dim'][1 + range % 4] END as p_name,
+    CASE WHEN range % 5 > 0 THEN 'B' END as p_brand, CASE WHEN range % 3 > 0 THEN 'T' || (range % 2) END as p_type from range(200)) to '{tmp_path}/part.parquet'""")
+    c.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    want = sorted(c.execute(mq.ORACLE["tfidf_cosine_pairs"]).fetchall())
+    assert len(want) > 1000
+    assert rows(spark, str(tmp_path), "tfidf_cosine_pairs") == want
+    monkeypatch.setattr(similarity, "RECORDS", 30)
+    monkeypatch.setattr(similarity, "LISTED", 7)
+    assert rows(spark, str(tmp_path), "tfidf_cosine_pairs") == want

@@ -110,19 +110,78 @@ def cosine_pairs(weights: DataFrame, blocks: DataFrame, key: str, block: str, fl
     return a.join(b, [block, "gram"]).filter("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")).filter(F.col("sim") >= floor)
 
 
+#: Rows of the pairs of texts' records that are listed at once; records of a block that meet in one task.
+LISTED, RECORDS = 1 << 18, 8192
+
+
 def text_pairs(df: DataFrame, key: str, text: str, block: str, floor: float) -> DataFrame:
-    """(a, b, sim), a < b of one block: each two texts are compared once, and their records take it over."""
-    texts = df.groupBy(text).agg(F.min(key).alias("rep"), F.count("*").alias("times"))
-    w = tfidf(texts, "rep", text, "times")
-    held = df.join(texts.select(text, "rep"), text).select(F.col(key).alias("id"), F.col(block).alias("block"), "rep")
-    blocks = held.select("rep", "block").distinct()
-    x, y = blocks.select(F.col("rep").alias("p"), "block"), blocks.select(F.col("rep").alias("q"), "block")
-    meet = x.join(y, "block").filter("p <= q").select("p", "q").distinct()
-    a, b = w.select(F.col("rep").alias("p"), "gram", F.col("w").alias("wa")), w.select(F.col("rep").alias("q"), "gram", F.col("w").alias("wb"))
-    near = a.join(meet, "p").join(b, ["q", "gram"]).groupBy("p", "q").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")).filter(F.col("sim") >= floor)
-    m, n = held.select(F.col("id").alias("i"), "block", F.col("rep").alias("p")), held.select(F.col("id").alias("j"), "block", F.col("rep").alias("q"))
-    each = near.join(m, "p").join(n, ["q", "block"]).filter("p < q or i < j")
-    return each.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "sim")
+    """(a, b, sim), a < b of one block, sim to four places: each two texts of a block are compared once, and their records take it over."""
+    said = df.filter(F.col(text).isNotNull()).select(F.col(block).alias("block"), F.col(key).alias("id"), F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")).alias("t"))
+    rows = said.filter("block is not null and id is not null and t <> ''")
+    total = df.agg(F.count("*").alias("total"))  # records without a text count too
+
+    def listed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _listed(key, batches, floor)
+
+    return compared(rows, frequencies(said), total, RECORDS).applyInArrow(listed, "a long, b long, sim double")
+
+
+def _slices(size: np.ndarray):
+    """Ranges whose sizes add up to LISTED, or of one whose size is larger."""
+    end, k = np.cumsum(size), 0
+    while k < len(size):
+        n = max(k + 1, int(np.searchsorted(end, (end[k - 1] if k else 0) + LISTED, "right")))
+        yield k, n
+        k = n
+
+
+def _each(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each size."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _listed(key: tuple, batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, sim) of the records of two groups of a block, or of one."""
+    tile, x, y = read_tile(key, batches)
+    t = tile.slice(0, len(tile) - tile["id"].null_count)
+    if not len(t):
+        return
+    texts, first, text = np.unique(t["t"].to_numpy(zero_copy_only=False).astype(str), return_index=True, return_inverse=True)
+    weights, ids, parts = text_weights(t.take(pa.array(first)), tile), t["id"].to_numpy(), []
+    # of each text, where its records of either group lie
+    for part in (x,) if y is None else (x, y):
+        part = part[np.argsort(text[part], kind="stable")]
+        own = np.bincount(text[part], minlength=len(texts))
+        parts.append((ids[part], np.cumsum(own) - own, own))
+    (p_ids, p_first, p_size), (q_ids, q_first, q_size) = parts[0], parts[-1]
+
+    def rows(r, start, size, s):
+        """Each record r with `size` others from `start` on."""
+        for low, high in _slices(size):
+            n = size[low:high]
+            p, q = np.repeat(p_ids[r[low:high]], n), q_ids[np.repeat(start[low:high], n) + _each(n)]
+            apart = p != q
+            if not apart.all():
+                p, q, v = p[apart], q[apart], np.repeat(s[low:high], n)[apart]
+            else:
+                v = np.repeat(s[low:high], n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(v)], ["a", "b", "sim"])
+
+    def crossed(i, j, s):
+        for low, high in _slices(p_size[i]):
+            n = p_size[i[low:high]]
+            r = np.repeat(p_first[i[low:high]], n) + _each(n)
+            m = np.repeat(j[low:high], n)
+            yield from rows(r, q_first[m], q_size[m], np.repeat(s[low:high], n))
+
+    of_x, of_y = np.flatnonzero(p_size), np.flatnonzero(q_size)
+    if y is None:
+        # a text's own records: each with those that follow it
+        n = np.repeat(p_first + p_size, p_size)
+        r = np.arange(len(p_ids))
+        yield from rows(r, r + 1, n - r - 1, np.ones(len(r)))
+    for i, j, s in near(weights, of_x, None if y is None else of_y, floor):
+        yield from crossed(i, j, _rounded(s))
 
 
 def _grams(word: str) -> list[str]:
