@@ -448,3 +448,12 @@ def test_nothing_else_needs_this_package():
     for p in home.rglob("*.py"):
         if "llm" not in p.parts:
             assert "weftline.llm" not in p.read_text()
+
+
+def test_pieces_that_differ_in_case_only_are_read_once():
+    from weftline.functions.catalogue import Parser, _num
+
+    p, alone = Parser(), Parser()
+    texts = ["Gate Valve | DN 50 | PACK OF 2.50 KG", "GATE VALVE | dn 50 | pack of 2.50 kg", "gate valve | Dn 50 | Pack of 2.50 Kg"]
+    assert p.features(texts[0]) == p.features(texts[1]) == p.features(texts[2]) == alone.features(texts[2]) and len(p.pieces) == 3
+    assert [_num(x) for x in ("05", "1,200.50", "2.0", "0.0", "1-1/2", "123456789012.0", "٥.٠")] == ["5", "1200.5", "2", "0", "1.5", "123456789012", "5"]

@@ -54,13 +54,19 @@ def _parser(counts: dict[str, int]) -> catalogue.Parser:
 
 
 def _reader(keep: list[str], counts: dict[str, int]):
+    units: dict[str | None, tuple] = {}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = _parser(counts).features
         for b in batches:
             rows = []
             for text, uom in zip(b["__description"], b["__uom"]):
                 words, found, types, amounts, numbers = features(text)
-                n, unit = catalogue.unit_of_issue(uom)
+                if uom not in units:
+                    if len(units) > 100_000:
+                        units.clear()
+                    units[uom] = catalogue.unit_of_issue(uom)
+                n, unit = units[uom]
                 keys = sorted(found) + sorted({f"{catalogue.dimension(a[2])}_" for a in amounts if a[2]} or ({"amount"} if amounts else ()))
                 rows.append((
                     " ".join(sorted(words)), ";".join(f"{k}={v}" for k, v in found.items()), " ".join(types),
