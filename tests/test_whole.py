@@ -237,3 +237,34 @@ def test_text_pairs_of_odd_parts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(similarity, "RECORDS", 30)
     monkeypatch.setattr(similarity, "LISTED", 7)
     assert rows(spark, str(tmp_path), "tfidf_cosine_pairs") == want
+
+
+def test_text_pairs_where_splits_have_no_rows(spark, tmp_path):
+    """A row group is read in one split; the other splits of its file have no text, nor has an empty table."""
+    c = duckdb.connect()
+    for n in (300, 0):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        c.execute(f"copy (select range as p_partkey, 'hot bolt ' || (range % 3) as p_name, 'B' as p_brand, 'T' || (range % 2) as p_type from range({n})) to '{folder}/part.parquet'")
+        c.execute(f"create or replace view part as select * from '{folder}/part.parquet'")
+        want = sorted(c.execute(mq.ORACLE["tfidf_cosine_pairs"]).fetchall())
+        splits = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "0"}
+        for k, v in splits.items():
+            spark.conf.set(k, v)
+        try:
+            assert spark.read.parquet(f"{folder}/part.parquet").rdd.getNumPartitions() > 1 or not n
+            assert rows(spark, str(folder), "tfidf_cosine_pairs") == want
+        finally:
+            for k in splits:
+                spark.conf.unset(k)
+
+
+def test_text_pairs_keep_the_keys_type_and_tell_texts_apart(spark, tmp_path):
+    """Keys of 32 bits come out as such; a text with a NUL at its end is another text, as in SQL."""
+    c = duckdb.connect()
+    c.execute(f"copy (select range::int as p_partkey, ['hot bolt', 'hot bolt' || chr(0), 'hot nut'][1 + range % 3] as p_name, 'B' as p_brand, 'T' as p_type from range(12)) to '{tmp_path}/part.parquet'")
+    c.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    want = sorted(c.execute(mq.ORACLE["tfidf_cosine_pairs"]).fetchall())
+    assert dict(entry.queries()["tfidf_cosine_pairs"](spark, str(tmp_path)).dtypes)["a"] == "int"
+    assert len({s for _, _, s in want}) > 1  # all alike if the NUL is lost
+    assert rows(spark, str(tmp_path), "tfidf_cosine_pairs") == want

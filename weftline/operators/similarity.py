@@ -123,7 +123,8 @@ def text_pairs(df: DataFrame, key: str, text: str, block: str, floor: float) ->
     def listed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _listed(key, batches, floor)
 
-    return compared(rows, frequencies(said), total, RECORDS).applyInArrow(listed, "a long, b long, sim double")
+    kind = df.schema[key].dataType.simpleString()
+    return compared(rows, frequencies(said), total, RECORDS).applyInArrow(listed, f"a {kind}, b {kind}, sim double")
 
 
 def _slices(size: np.ndarray):
@@ -146,7 +147,10 @@ def _listed(key: tuple, batches: Iterator[pa.RecordBatch], floor: float) -> Iter
     t = tile.slice(0, len(tile) - tile["id"].null_count)
     if not len(t):
         return
-    texts, first, text = np.unique(t["t"].to_numpy(zero_copy_only=False).astype(str), return_index=True, return_inverse=True)
+    coded = pc.dictionary_encode(t["t"]).combine_chunks()
+    texts = coded.dictionary
+    text = np.argsort(pc.sort_indices(texts))[coded.indices]
+    first = np.unique(text, return_index=True)[1]
     weights, ids, parts = text_weights(t.take(pa.array(first)), tile), t["id"].to_numpy(), []
     # of each text, where its records of either group lie
     for part in (x,) if y is None else (x, y):
@@ -231,7 +235,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = np.bincount(gram, pdf["times"].to_numpy()[text] if "times" in pdf else None, minlength=len(words.grams)).astype(np.int64)
         now[: len(df)] += df
         df = now
-    yield pd.DataFrame({"gram": list(words.grams), "df": df})
+    if words.grams:  # a partition without texts has no row: pandas would give its grams no type
+        yield pd.DataFrame({"gram": list(words.grams), "df": df})
 
 
 def frequencies(rows: DataFrame, *times: str) -> DataFrame:
